@@ -40,10 +40,14 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        self.large = False
+        """Whether what was saved last left shuffle files worth removing."""
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.release()
+    def save(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        if self.large:
+            self.release()
         df.write.option("compression", "zstd").parquet(path := f"{self.root}/{name}")
+        self.large = large
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -135,17 +135,19 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spread: int) -> DataFrame:
-    """(g, c): prefix n-grams that at least two different sets share."""
+    """(g, c, n): prefix n-grams that at least two different sets share, and the size of the set."""
 
     def emit(batches):
         held, size, seen = [], 0, set()
 
         def rows():
-            g, c = np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), k, np.int64) for x, k in held])
+            g = np.concatenate([x for x, _, _ in held])
+            lengths = [len(x) for x, _, _ in held]
+            c, n = np.repeat(np.array([k for _, k, _ in held]), lengths), np.repeat(np.array([m for _, _, m in held], np.int32), lengths)
             own = (mix(g) % U64(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             edges = np.searchsorted(own[order], np.arange(buckets + 1))
-            out = [(b, g[m].tobytes() + c[m].tobytes()) for b in range(buckets) if len(m := order[edges[b] : edges[b + 1]])]
+            out = [(b, g[m].tobytes() + c[m].tobytes() + n[m].tobytes()) for b in range(buckets) if len(m := order[edges[b] : edges[b + 1]])]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["bucket", "payload"])
 
         for _, _, sets in _sets(batches, words):
@@ -154,7 +156,7 @@ def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spr
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(k)
-                    held.append((ordered(s, rank.value)[: prefix_length(len(s), percent)], k))
+                    held.append((ordered(s, rank.value)[: prefix_length(len(s), percent)], k, len(s)))
                     size += len(held[-1][0])
             if size > 1_500_000:
                 yield rows()
@@ -163,21 +165,21 @@ def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spr
             yield rows()
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.concatenate([np.frombuffer(p, U64, len(p) // 16) for p in pdf["payload"]])
-        c = np.concatenate([np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2) for p in pdf["payload"]])
+        k = [len(p) // 20 for p in pdf["payload"]]
+        g, c, n = (np.concatenate([np.frombuffer(p, t, m, at * m) for p, m in zip(pdf["payload"], k)]) for t, at in ((U64, 0), (np.int64, 8), (np.int32, 16)))
         order = np.lexsort((c, g))
-        g, c = g[order], c[order]
+        g, c, n = g[order], c[order], n[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-        g, c = g[new], c[new]
+        g, c, n = g[new], c[new], n[new]
         same = g[1:] == g[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"g": g[keep].view(np.int64), "c": c[keep]})
+        return pd.DataFrame({"g": g[keep].view(np.int64), "c": c[keep], "n": n[keep].astype(np.int64)})
 
-    return docs.mapInArrow(emit, "bucket int, payload binary").repartition(spread, "bucket").groupBy("bucket").applyInPandas(shared, "g long, c long")
+    return docs.mapInArrow(emit, "bucket int, payload binary").repartition(spread, "bucket").groupBy("bucket").applyInPandas(shared, "g long, c long, n long")
 
 
 def _segments(docs: DataFrame, words: int, rank, cuts) -> DataFrame:
-    """(c, fragment, grams): the parts of each set."""
+    """(c, fragment, grams): the parts of each set; equal sets may come more than once."""
 
     def run(batches):
         for _, _, sets in _sets(batches, words):
@@ -190,32 +192,49 @@ def _segments(docs: DataFrame, words: int, rank, cuts) -> DataFrame:
                         out.append((k, f, g[own == f].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["c", "fragment", "grams"])
 
-    found = docs.mapInArrow(run, "c long, fragment int, grams array<long>")
-    return found.groupBy("c", "fragment").agg(F.first("grams").alias("grams"))
+    return docs.mapInArrow(run, "c long, fragment int, grams array<long>")
 
 
-def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def possible(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) that their lengths and the number of shared prefix n-grams (a row each) leave possible.
+    What they share is in both prefixes, or behind the prefix that ends first."""
+    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100.0) - 1 for n in ("na", "nb")))
+    sized = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    counted = sized.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    return counted.where((F.col("k") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).drop("k")
+
+
+def best_hub(found: DataFrame, percent: int) -> DataFrame:
+    """For each set the hub with which it shares most: one pair per set. What this misses, the last round finds."""
+    counted = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    best = counted.groupBy("a", "na").agg(F.max(F.struct("k", "b", "nb")).alias("x")).select("a", "na", "x.*")
+    return best.where(F.col("k") * 800 >= F.col("na") * (100 - percent)).drop("k")
+
+
+def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: overlaps are counted by fragment and summed by pair."""
     left = segments.select(F.col("c").alias("a"), "fragment", F.col("grams").alias("x"))
     right = segments.select(F.col("c").alias("b"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("part"))
-    sums = partial.groupBy("a", "b").agg(F.sum("part").alias("both"))
-    sized = sums.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("part"))
+    sums = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    return sums.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(ws: Workspace, edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
     """(c, comp) for the nodes of ``edges`` (a, b); comp is the smallest node. Alternating large and small stars."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    mark = F.xxhash64("u", "v").cast("decimal(38,0)")
+    edges = ws.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}_")
     state = None
-    for _ in range(rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    for k in range(rounds):
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # Every node now sees smaller nodes only; the small star needs no more than its edges once each.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        edges = ws.save(small.where("u <> v").distinct(), f"{name}{k}")
+        ws.drop(f"{name}{k - 1}" if k else f"{name}_")
+        now = edges.agg(F.count("*"), F.sum(mark)).first()
         if now == state:
             break
         state = now
@@ -235,38 +254,41 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rank = spark.sparkContext.broadcast(rank)
     classes = ws.save(nodes.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     buckets = max(1, -(-int(total * (100 - percent) / 100 * 16) // BUCKET_BYTES))
-    postings = ws.save(_postings(docs, words, percent, rank, buckets, min(buckets, conf_partitions(spark))), "postings")
-    sized = ws.save(postings.join(classes.select("c", "n"), "c"), "sized")
-    ws.drop("postings")
-    wanted = classes.join(sized.select("c").distinct(), "c", "left_semi").select("doc_id")
-    segments = ws.save(_segments(docs.join(wanted, "doc_id", "left_semi"), words, rank, cuts), "segments")
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    postings = ws.save(_postings(docs, words, percent, rank, buckets, min(buckets, conf_partitions(spark))), "postings", large=True)
 
-    edges, comp, open_ = None, None, sized.withColumn("comp", F.col("c"))
-    limit = 4 * sized.count() + 10_000
+    # A set whose prefix others share almost wholly has few words of its own: such sets make good hubs.
+    weight = postings.groupBy("c", "n").agg(F.count("*").alias("k")).select("c", (F.col("k") * 1000 / (F.col("n") * (100 - percent) / 100.0 + 1)).cast("int").alias("w"))
+    postings = ws.save(postings.join(weight, "c"), "weighted", large=True)
+    ws.drop("postings")
+    comp, open_ = None, postings.withColumn("comp", F.col("c"))
+    edges = postings.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false")
+    limit, crossing, before, stuck = 4 * postings.count() + 10_000, None, float("inf"), False
     for step in range(HUB_ROUNDS + 1):
-        last = step and (crossing <= limit or step == HUB_ROUNDS)  # noqa: F821
+        last = step > 0 and (crossing <= limit or stuck or step == HUB_ROUNDS)
+        a = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         if last:
-            a = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             b = open_.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             found = a.join(b, "g").where("ca <> cb and a < b")
         else:
-            # A first hub for all n-grams of a group; later ones differ between n-grams and rounds.
-            mark = F.col("c") if not step else F.xxhash64("c", "g", F.lit(step))
-            hubs = open_.groupBy("g").agg(F.min(F.struct(mark.alias("k"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("hub")).select("g", "hub.b", "hub.nb", "hub.cb")
-            found = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(hubs, "g").where("ca <> cb")
-        pairs = found.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = verified(pairs, segments, classes, percent)
-        edges = (links if edges is None else edges.union(links)).checkpoint()
-        comp = connected(edges)
+            mark = (F.col("w"), F.col("c")) if not step else (F.floor(F.col("w") / 100), F.xxhash64("c", F.lit(step)))
+            hubs = open_.groupBy("g").agg(F.max(F.struct(*mark, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("hub"))
+            found = a.join(hubs.select("g", "hub.b", "hub.nb", "hub.cb"), "g").where("ca <> cb")
+        pairs = ws.save(possible(found, percent) if last else best_hub(found, percent), f"pairs{step}")
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c")).select("doc_id").distinct()
+        segments = ws.save(_segments(docs.join(wanted, "doc_id", "left_semi"), words, rank, cuts), f"segments{step}", large=True)
+        edges = ws.save(edges.union(verified(pairs, segments, percent)), f"edges{step}", large=True)
+        ws.drop(f"segments{step}")
+        comp = connected(ws, edges, f"stars{step}_")
         if last:
             break
-        labelled = sized.join(comp, "c", "left").select("g", "c", "n", F.coalesce("comp", "c").alias("comp"))
-        mixed = labelled.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("m"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("m > 1").checkpoint()
+        labelled = postings.join(comp, "c", "left").select("g", "c", "n", "w", F.coalesce("comp", "c").alias("comp"))
+        mixed = labelled.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("m"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("m > 1")
+        mixed = ws.save(mixed, f"mixed{step}")
         crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0] or 0
         if not crossing:
             break
-        open_ = labelled.join(mixed.select("g"), "g", "left_semi").checkpoint()
+        stuck, before = crossing > before / 2, crossing
+        open_ = ws.save(labelled.join(mixed.select("g"), "g", "left_semi"), f"open{step}")
 
     grouped = classes.join(comp, "c", "left").select("c", "doc_id", F.coalesce("comp", "c").alias("comp"))
     smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

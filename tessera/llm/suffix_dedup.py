@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     docs = docs.drop(*[c for c, _ in RESULT if c in docs.columns]).withColumn("text", F.col("text").cast("string"))
     columns, parts = docs.columns, conf_partitions(spark)
     dealt = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
-    batches = ws.save(_pack(columns, dealt, batch_bytes), "batches")
+    batches = ws.save(_pack(columns, dealt, batch_bytes), "batches", large=True)
     del dealt
     total = batches.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-int(total * 2 / (length - gram + 2) * 16) // BUCKET_BYTES))
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
     spread = min(parts, buckets)
     sieved = batches.select("batch", "payload").mapInArrow(keys, KEYS).repartition(spread, "bucket").groupBy("bucket").applyInPandas(_sieve, KEYS)
-    sieved = ws.save(sieved, "sieved")
+    sieved = ws.save(sieved, "sieved", large=True)
 
     def replies(found: DataFrame) -> DataFrame:
         return found.groupBy("batch").agg(F.collect_list(F.struct("bucket", "payload")).alias("found"))
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 yield _rows([(k, b, fps[first][m].tobytes()) for k, m in _deal(fps[first], buckets)], *KEY_TYPES)
 
     opening = batches.select("batch", "payload").join(replies(sieved), "batch", "left").mapInArrow(windows, KEYS)
-    indexed = ws.save(opening.repartition(spread, "bucket").groupBy("bucket").applyInPandas(_index, KEYS), "indexed")
+    indexed = ws.save(opening.repartition(spread, "bucket").groupBy("bucket").applyInPandas(_index, KEYS), "indexed", large=True)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType() if t == "long" else T.BinaryType()) for c, t in RESULT)])
 
     def apply(rows):
