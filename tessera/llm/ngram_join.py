@@ -262,7 +262,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     ws.drop("postings")
     comp, open_ = None, postings.withColumn("comp", F.col("c"))
     edges = postings.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false")
-    limit, crossing, before, stuck = 4 * postings.count() + 10_000, None, float("inf"), False
+    limit, crossing, before, stuck = postings.count() + 10_000, None, float("inf"), False
     for step in range(HUB_ROUNDS + 1):
         last = step > 0 and (crossing <= limit or stuck or step == HUB_ROUNDS)
         a = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
@@ -275,7 +275,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             found = a.join(hubs.select("g", "hub.b", "hub.nb", "hub.cb"), "g").where("ca <> cb")
         pairs = ws.save(possible(found, percent) if last else best_hub(found, percent), f"pairs{step}")
         wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c")).select("doc_id").distinct()
-        segments = ws.save(_segments(docs.join(wanted, "doc_id", "left_semi"), words, rank, cuts), f"segments{step}", large=True)
+        segments = ws.save(_segments(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words, rank, cuts), f"segments{step}", large=True)
         edges = ws.save(edges.union(verified(pairs, segments, percent)), f"edges{step}", large=True)
         ws.drop(f"segments{step}")
         comp = connected(ws, edges, f"stars{step}_")
@@ -287,7 +287,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0] or 0
         if not crossing:
             break
-        stuck, before = crossing > before / 2, crossing
+        stuck, before = crossing > 0.8 * before, crossing
         open_ = ws.save(labelled.join(mixed.select("g"), "g", "left_semi"), f"open{step}")
 
     grouped = classes.join(comp, "c", "left").select("c", "doc_id", F.coalesce("comp", "c").alias("comp"))
