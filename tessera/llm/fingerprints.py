@@ -12,8 +12,6 @@ their text; the document after the last is the first, so a lone document follows
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +27,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def probes() -> Column:
-    """h(b, t) for each bin and try, a constant."""
-    return F.lit([hashlib.md5(f"{b}:{t}".encode()).digest()[0] % BINS for b in range(BINS) for t in range(TRIES)])
+def probe(b: Column, t) -> Column:
+    """h(b, t), the bin that empty bin b tries at t."""
+    return F.pmod(F.xxhash64(b, F.lit(t)), F.lit(BINS)).cast("int")
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -57,12 +55,10 @@ def bins(hashes: Column) -> Column:
 
 
 def densified(cells: Column) -> Column:
-    table = probes()
-
     def fill(d: Column) -> Column:
         def donor(b: Column) -> Column:
-            tries = [F.get(d, F.get(table, b * TRIES + t)) for t in range(TRIES)]
-            walk = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda t: F.get(d, (F.get(table, b * TRIES) + t) % BINS)), lambda x: x.isNotNull()), F.lit(0))
+            tries = [F.get(d, probe(b, t)) for t in range(TRIES)]
+            walk = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda t: F.get(d, (probe(b, 0) + t) % BINS)), lambda x: x.isNotNull()), F.lit(0))
             return F.coalesce(*tries, walk)
 
         return F.transform(d, lambda x, b: F.coalesce(x, donor(b)))
