@@ -85,14 +85,14 @@ hosts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM c WHERE host <
 names AS (SELECT host FROM hosts UNION SELECT array_to_string(l[len(l) - 2 : len(l)], '.') FROM hosts WHERE len(l) > 3),
 ruled AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::INTEGER AS h FROM names),
 entries AS (
-  SELECT host, DATE '2024-01-01' + (h % 200) AS at, 'add' AS action, 'category-' || (h % 5) AS category FROM ruled WHERE h % 4 = 0
+  SELECT host, DATE '2024-01-01' + (h % 200) AS day, 'add' AS action, 'category-' || (h % 5) AS category FROM ruled WHERE h % 4 = 0
   UNION ALL SELECT host, DATE '2024-01-01' + (h % 200 + 60), 'remove', 'category-' || (h % 5) FROM ruled WHERE h % 8 = 0
   UNION ALL SELECT host, DATE '2024-01-01' + (h % 200 + 120), 'add', 'category-' || (h % 5) FROM ruled WHERE h % 16 = 0),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY host ORDER BY at) AS until FROM entries),
-hits AS (SELECT c.page_id, s.host AS matched_host, s.category, s.at,
+spans AS (SELECT *, lead(day) OVER (PARTITION BY host ORDER BY day) AS until FROM entries),
+hits AS (SELECT c.page_id, s.host AS matched_host, s.category, s.day,
     row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.host) DESC) AS r
-  FROM c JOIN spans s ON (c.host = s.host OR ends_with(c.host, '.' || s.host)) AND s.action = 'add' AND s.at <= c.fetched AND (s.until IS NULL OR c.fetched < s.until))
-SELECT c.page_id, c.url, CAST(CAST(c.fetched AS DATE) AS VARCHAR) AS fetched, c.host, h.matched_host, h.category, CAST(CAST(h.at AS DATE) AS VARCHAR) AS active_since, h.matched_host IS NOT NULL AS blocked
+  FROM c JOIN spans s ON (c.host = s.host OR ends_with(c.host, '.' || s.host)) AND s.action = 'add' AND s.day <= c.fetched AND (s.until IS NULL OR c.fetched < s.until))
+SELECT c.page_id, c.url, CAST(CAST(c.fetched AS DATE) AS VARCHAR) AS fetched, c.host, h.matched_host, h.category, CAST(CAST(h.day AS DATE) AS VARCHAR) AS active_since, h.matched_host IS NOT NULL AS blocked
 FROM c LEFT JOIN hits h ON h.page_id = c.page_id AND h.r = 1"""
 
 

@@ -130,7 +130,7 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
     kth = ahead.where(F.col("sum") >= k + 1).groupBy("query_id").agg(F.max("least").alias("kth"))
     left = found.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
 
-    def exact(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def exact(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Read exact vectors in the order of their upper bounds until no bound left exceeds the k-th score."""
         qid, q = sent.value
         best, pdf = [], pdf.sort_values("most", ascending=False)
