@@ -1,4 +1,395 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the driver's tables and their DuckDB SQL. A document is a block, its source a folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import tokens as K
+from tessera.operators import minhash, report, scoring, store, vectors, verify
+from tessera.sources import files
+from tessera.streaming import events as E
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # A single file is one partition; texts are dealt out before they are split into words.
+    return rows.repartition(spark.sparkContext.defaultParallelism) if name == "documents" and rows.rdd.getNumPartitions() < 2 else rows
+
+
+# Shared SQL ------------------------------------------------------------------------------------------------------------
+WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+SHINGLES = """list_distinct(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' ')) ELSE [array_to_string(t, ' ')] END)"""
+PAIRS = ",".join(f"({i},{a},{b})" for i, (a, b) in enumerate(minhash.coefficients()))
+
+
+def signature_sql(source: str, key: str, name: str) -> str:
+    return f"""{name}_s AS (SELECT {key} AS k, unnest({SHINGLES}) AS s FROM (SELECT {key}, {WORDS} AS t FROM {source})),
+{name}_h AS (SELECT k, ('0x' || substr(md5(s), 1, 8))::BIGINT % {minhash.PRIME} AS h FROM {name}_s),
+{name}_m AS (SELECT k, i, min((a * h + b) % {minhash.PRIME}) AS m FROM {name}_h, f GROUP BY k, i),
+{name} AS (SELECT k, list(m ORDER BY i) AS signature FROM {name}_m GROUP BY k)"""
+
+
+COEFFICIENTS = f"f(i, a, b) AS (VALUES {PAIRS})"
+
+
+def bands_sql(source: str, name: str) -> str:
+    return f"{name} AS (SELECT k, band, md5(array_to_string(signature[band * 8 + 1 : band * 8 + 8], ',')) AS bucket FROM {source}, range(16) r(band))"
+
+
+def estimate(x: str, y: str) -> str:
+    return f"len(list_filter(list_zip({x}, {y}), lambda p: p[1] = p[2])) / 128.0"
+
+
+CLASSES = f"""WITH {COEFFICIENTS}, {signature_sql('documents', 'doc_id', 'sig')},
+rep AS (SELECT min(k) AS k, signature FROM sig GROUP BY signature), {bands_sql('rep', 'bands')},
+meet AS (SELECT DISTINCT a.k AS src, b.k AS match FROM bands a JOIN bands b ON a.band = b.band AND a.bucket = b.bucket AND a.k > b.k),
+scored AS (SELECT src, match, {estimate('x.signature', 'y.signature')} AS similarity FROM meet JOIN rep x ON x.k = src JOIN rep y ON y.k = match),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, match) AS r FROM scored) WHERE r <= 50)"""
+
+
+# MinHash ---------------------------------------------------------------------------------------------------------------
+def document_signatures(spark, sf_dir) -> DataFrame:
+    return minhash.signatures(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", K.words(F.col("text")))
+
+
+def class_candidates(spark, sf_dir) -> DataFrame:
+    reps = minhash.classes(document_signatures(spark, sf_dir), "doc_id").select("doc_id", "signature")
+    return minhash.candidates(reps, reps, "doc_id")
+
+
+@query(CLASSES + " SELECT src, match, round(similarity, 6) AS similarity FROM cand")
+def near_duplicates(spark, sf_dir):
+    """Candidate pairs between classes of equal signatures, later to earlier, the 50 most alike of each."""
+    return class_candidates(spark, sf_dir).select("src", "match", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {COEFFICIENTS}, {signature_sql('documents', 'doc_id', 'sig')} SELECT k AS doc_id, md5(array_to_string(signature, ',')) AS digest, min(k) OVER (PARTITION BY signature) AS class_id FROM sig")
+def minhash_signatures(spark, sf_dir):
+    """A digest of each signature and the class it belongs to."""
+    sigs = document_signatures(spark, sf_dir).withColumn("digest", F.md5(F.array_join("signature", ",").cast("binary"))).select("doc_id", "digest")
+    return sigs.join(sigs.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "digest").select("doc_id", "digest", "class_id")
+
+
+@query(f"WITH {COEFFICIENTS}, {signature_sql('documents', 'doc_id', 'sig')}, {bands_sql('sig', 'bands')}, n AS (SELECT band, bucket, count(*) AS n FROM bands GROUP BY ALL) SELECT count(*) AS total_buckets, round(avg(n), 2) AS avg_bucket_size, max(n) AS max_bucket_size, (SELECT count(*) FROM sig) AS total_blocks, CAST(16 AS INTEGER) AS total_bands, CAST(0.707 AS DOUBLE) AS estimated_threshold FROM n")
+def lsh_index_statistics(spark, sf_dir):
+    return minhash.index_statistics(document_signatures(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {COEFFICIENTS}, {signature_sql('documents', 'doc_id', 'sig')}, {signature_sql('benchmark', 'item_id', 'ben')}, rep AS (SELECT min(k) AS k, signature FROM sig GROUP BY signature), {bands_sql('rep', 'db')}, {bands_sql('ben', 'bb')}, meet AS (SELECT DISTINCT a.k AS src, b.k AS match FROM bb a JOIN db b ON a.band = b.band AND a.bucket = b.bucket) SELECT src AS item_id, match AS doc_id, round({estimate('x.signature', 'y.signature')}, 6) AS similarity FROM meet JOIN ben x ON x.k = src JOIN rep y ON y.k = match")
+def incremental_candidates(spark, sf_dir):
+    """New blocks (benchmark) against the classes of the index (documents); here no source has 50 candidates."""
+    reps = minhash.classes(document_signatures(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("id"), "signature")
+    new = minhash.signatures(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), "id", K.words(F.col("text")))
+    left = minhash.bands(new, "id").select("band", "bucket", F.col("id").alias("src"))
+    right = minhash.bands(reps, "id").select("band", "bucket", F.col("id").alias("match"))
+    meet = left.join(right, ["band", "bucket"]).select("src", "match").distinct()
+    scored = meet.join(new.select(F.col("id").alias("src"), F.col("signature").alias("x")), "src").join(reps.select(F.col("id").alias("match"), F.col("signature").alias("y")), "match")
+    return scored.select(F.col("src").alias("item_id"), F.col("match").alias("doc_id"), F.round(minhash.estimated_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len({SHINGLES}) AS BIGINT) AS n_shingles FROM (SELECT doc_id, {WORDS} AS t FROM documents)")
+def shingle_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", K.words(F.col("text")).alias("t"))
+    counted = rows.select("doc_id", F.size("t").cast("long").alias("n_words"), F.explode(K.shingles(F.col("t"))).alias("s"))
+    return counted.groupBy("doc_id", "n_words").agg(F.count("*").alias("n_shingles"))
+
+
+# Normalisation ---------------------------------------------------------------------------------------------------------
+def _listed(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+ROLE = f"""CASE WHEN trim(token) = '' OR token IN ({_listed(K.KEYWORDS['python'])}) OR token IN ({_listed(K.STRUCTURAL)}) THEN NULL
+WHEN regexp_matches(token, '{K.STRING.replace("'", "''")}') THEN 'STR' WHEN regexp_matches(token, '{K.NUMBER}') THEN 'NUM' WHEN regexp_matches(token, '{K.BOOLEAN}') THEN 'BOOL'
+WHEN regexp_matches(token, '{K.TYPE}') THEN 'TYPE' WHEN regexp_matches(token, '{K.DUNDER}') THEN 'FUNC' WHEN regexp_matches(token, '{K.IDENTIFIER}') THEN 'VAR' END"""
+NORMAL = rf"""WITH tok AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{K.TOKEN}') AS l FROM documents)),
+roled AS (SELECT *, {ROLE} AS role FROM tok),
+norm AS (SELECT *, CASE WHEN role IS NULL THEN token WHEN role IN ('STR', 'NUM', 'BOOL') THEN role || '_LIT' ELSE role || '_' || row_number() OVER (PARTITION BY doc_id, role ORDER BY pos) END AS norm FROM roled)"""
+
+
+def document_tokens(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return K.positions(rows.select("doc_id", K.tokens(F.col("text")).alias("toks"), F.lit("python").alias("code")), "doc_id", "toks", "code")
+
+
+@query(NORMAL + " SELECT coalesce(role, 'kept') AS role, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM norm GROUP BY 1")
+def token_roles(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.explode(K.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    roled = rows.withColumn("role", F.coalesce(K.role(F.col("token"), F.lit("python")), F.lit("kept")))
+    return roled.groupBy("role").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_distinct"))
+
+
+@query(NORMAL + " SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (norm <> token) AS n_changed, sha256(string_agg(norm, ' ' ORDER BY pos)) AS hash_signature, substr(sha256(string_agg(norm, ' ' ORDER BY pos)), 1, 16) AS short_hash, count(*) / 10.0 AS complexity FROM norm GROUP BY doc_id")
+def normalized_documents(spark, sf_dir):
+    rows = document_tokens(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("o"), F.count_if(F.col("norm") != F.col("token")).alias("n_changed"))
+    toks = F.transform("o", lambda x: x["norm"])
+    return rows.select("doc_id", F.size("o").cast("long").alias("n_tokens"), "n_changed", K.hash_signature(toks).alias("hash_signature"), K.short_hash(toks).alias("short_hash"), K.complexity(toks).alias("complexity"))
+
+
+@query(NORMAL + " SELECT doc_id, token, max_by(norm, pos) AS norm, count(*) AS n FROM norm WHERE norm <> token GROUP BY doc_id, token")
+def token_mapping(spark, sf_dir):
+    """What each changed token of a document became last."""
+    return document_tokens(spark, sf_dir).where("norm <> token").groupBy("doc_id", "token").agg(F.max_by("norm", "pos").alias("norm"), F.count("*").alias("n"))
+
+
+@query(f"SELECT h AS hash_signature, count(*) AS n_documents, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(array_to_string({WORDS}, ' ')) AS h FROM documents) GROUP BY h HAVING count(*) > 1")
+def exact_duplicate_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", K.hash_signature(K.words(F.col("text"))).alias("hash_signature"))
+    return rows.groupBy("hash_signature").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_id")).where("n_documents > 1")
+
+
+# Verification ----------------------------------------------------------------------------------------------------------
+NEXT = f"""w AS (SELECT doc_id, {WORDS} AS t FROM documents), p AS (SELECT a.doc_id AS src, b.doc_id AS match, a.t AS a, b.t AS b FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)"""
+
+
+def adjacent(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", K.words(F.col("text")).alias("t"))
+    left = rows.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("match"), F.col("t").alias("a"))
+    return left.join(rows.select(F.col("doc_id").alias("match"), F.col("t").alias("b")), "match").select("src", "match", "a", "b")
+
+
+@query(f"WITH {NEXT}, s AS (SELECT src, match, len(list_distinct(a)) AS na, len(list_distinct(b)) AS nb, len(list_intersect(a, b)) AS shared FROM p) SELECT src, match, CAST(shared AS BIGINT) AS common, CAST(na + nb - 2 * shared AS BIGINT) AS token_diff_count, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE shared / CAST(na + nb - shared AS DOUBLE) END, 9) AS jaccard, round(CASE WHEN greatest(na, nb) > 0 THEN shared / CAST(greatest(na, nb) AS DOUBLE) END, 9) AS structural_similarity FROM s")
+def adjacent_differences(spark, sf_dir):
+    """Set metrics and the difference of each document and the next."""
+    a, b = F.col("a"), F.col("b")
+    rows = adjacent(spark, sf_dir).select("src", "match", "a", "b", K.explain_difference(a, b).alias("d"))
+    return rows.select("src", "match", F.size("d.common").cast("long").alias("common"), F.size("d.different").cast("long").alias("token_diff_count"), F.round(verify.token_jaccard(a, b), 9).alias("jaccard"), F.round("d.structural_similarity", 9).alias("structural_similarity"))
+
+
+@query()
+def adjacent_verification(spark, sf_dir):
+    """All eight metrics of each document and the next, on whole texts; held against a plain table in the tests."""
+    return verify.verify(adjacent(spark, sf_dir)).drop("a", "b")
+
+
+@query()
+def verification_statistics(spark, sf_dir):
+    return verify.statistics(verify.verify(adjacent(spark, sf_dir)))
+
+
+@query()
+def verified_duplicates(spark, sf_dir):
+    """Candidates that pass verification, the five best of each source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", K.words(F.col("text")).alias("t"))
+    pairs = class_candidates(spark, sf_dir).join(rows.select(F.col("doc_id").alias("src"), F.col("t").alias("a")), "src").join(rows.select(F.col("doc_id").alias("match"), F.col("t").alias("b")), "match")
+    return verify.best_matches(verify.verify(pairs, prune=True)).drop("a", "b")
+
+
+# Scoring and reports ---------------------------------------------------------------------------------------------------
+FINDINGS = CLASSES + f""", w AS (SELECT doc_id, source, lang, len({WORDS}) AS tokens FROM documents),
+d AS (SELECT cand.*, count(*) OVER (PARTITION BY src) AS d FROM cand WHERE similarity >= 0.7),
+scored2 AS (SELECT substr(sha256(src || ':' || match), 1, 16) AS finding_id, src, match, similarity, w.source, w.lang, w.tokens,
+  w.tokens * (1 + ln(1 + d)) * (CASE WHEN d > 1 THEN 1 + 0.1 * (d - 1) ELSE 1.0 END) AS score FROM d JOIN w ON w.doc_id = src),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, similarity DESC, match) AS r5 FROM scored2 WHERE score >= 200) WHERE r5 <= 5)"""
+
+
+def document_findings(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), "source", "lang", F.size(K.words(F.col("text"))).alias("tokens"))
+    pairs = class_candidates(spark, sf_dir).where("similarity >= 0.7").join(rows, "src").withColumn("similarity_confidence", F.col("similarity"))
+    return scoring.findings(pairs)
+
+
+@query(FINDINGS + " SELECT finding_id, src, match, round(similarity, 6) AS similarity, round(score, 6) AS refactor_score, 'near_miss' AS type FROM kept")
+def findings(spark, sf_dir):
+    return document_findings(spark, sf_dir).select("finding_id", "src", "match", F.round("similarity", 6).alias("similarity"), F.round("refactor_score", 6).alias("refactor_score"), "type")
+
+
+@query(FINDINGS + " SELECT count(*) AS total, count(*) FILTER (score >= 500) AS high, count(*) FILTER (score >= 200 AND score < 500) AS medium, count(*) FILTER (score < 200) AS low, count(*) FILTER (score >= 100) AS high_priority, round(coalesce(avg(score), 0), 6) AS avg_score, round(coalesce(min(score), 0), 6) AS min_score, round(coalesce(max(score), 0), 6) AS max_score FROM kept")
+def report_summary(spark, sf_dir):
+    s = scoring.summary(document_findings(spark, sf_dir))
+    return s.select("total", "high", "medium", "low", "high_priority", *(F.round(c, 6).alias(c) for c in ("avg_score", "min_score", "max_score")))
+
+
+@query(FINDINGS + " SELECT source AS folder, count(*) AS n_findings, round(max(score), 6) AS best_score, round(list_sort(list(similarity))[len(list(similarity)) // 2 + 1], 6) AS upper_median FROM kept GROUP BY source")
+def findings_by_folder(spark, sf_dir):
+    rows = document_findings(spark, sf_dir).withColumn("folder", scoring.folder_of(F.concat_ws("/", "source", F.col("src").cast("string"))))
+    return rows.groupBy("folder").agg(F.count("*").alias("n_findings"), F.round(F.max("refactor_score"), 6).alias("best_score"), F.round(scoring.upper_median(F.col("similarity")), 6).alias("upper_median"))
+
+
+@query(FINDINGS + " SELECT finding_id, round(score, 6) AS refactor_score FROM kept ORDER BY score DESC, finding_id LIMIT 50")
+def top_findings(spark, sf_dir):
+    return scoring.top_findings(document_findings(spark, sf_dir)).select("finding_id", F.round("refactor_score", 6).alias("refactor_score"))
+
+
+@query(FINDINGS + ", q AS (SELECT doc_id, quality FROM labels) SELECT finding_id, CASE WHEN quality = 0 THEN 'suppressed' ELSE 'active' END AS status, CASE WHEN score >= 500 THEN 'high' WHEN score >= 200 THEN 'medium' ELSE 'low' END AS band, score >= 1000 AS high_confidence FROM kept LEFT JOIN q ON q.doc_id = src")
+def finding_status(spark, sf_dir):
+    """Findings of documents labelled as poor are suppressed."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("src"), "quality")
+    rows = document_findings(spark, sf_dir).join(labels, "src", "left")
+    return rows.select("finding_id", F.when(F.col("quality") == 0, "suppressed").otherwise("active").alias("status"), scoring.quality_band(F.col("refactor_score")).alias("band"), (F.col("refactor_score") >= 1000).alias("high_confidence"))
+
+
+@query(f"SELECT lang, count(*) AS n_blocks, sum(n) AS total_tokens, round(avg(n), 6) AS avg_tokens, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT lang, len({WORDS}) AS n FROM documents) GROUP BY lang")
+def blocks_by_language(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.size(K.words(F.col("text"))).alias("n"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("total_tokens"), F.round(F.avg("n"), 6).alias("avg_tokens"))
+    return sums.withColumn("share", F.round(scoring.share(F.col("n_blocks")), 6))
+
+
+@query("SELECT source, count(*) AS files, count(l.doc_id) AS labelled, CAST(floor(count(l.doc_id) * 100 / greatest(count(*), 1)) AS BIGINT) AS labelled_percent, CAST(floor(count(*) FILTER (quality = 1) * 100 / greatest(count(l.doc_id), 1)) AS BIGINT) AS good_percent FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source")
+def stage_percentages(spark, sf_dir):
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(1).alias("one"))
+    rows = d.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("files"), F.count("one").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"))
+    return rows.select("source", "files", "labelled", scoring.pass_percentage(F.col("labelled"), F.col("files")).alias("labelled_percent"), scoring.pass_percentage(F.col("good"), F.col("labelled")).alias("good_percent"))
+
+
+# Files and the store ---------------------------------------------------------------------------------------------------
+EXT = "CASE lang WHEN 'en' THEN 'py' WHEN 'fr' THEN 'jsx' WHEN 'de' THEN 'tsx' ELSE 'md' END"
+
+
+def document_files(spark, sf_dir) -> DataFrame:
+    """Documents as files: a path with a suffix by language, a content hash, sizes."""
+    ext = F.when(F.col("lang") == "en", "py").when(F.col("lang") == "fr", "jsx").when(F.col("lang") == "de", "tsx").otherwise("md")
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.sha2(text.cast("binary"), 256).alias("hash"), F.octet_length(text).cast("long").alias("size_bytes"), text.alias("text"))
+
+
+FILES = f"""fl AS (SELECT doc_id, source || '/' || doc_id || '.' || {EXT} AS path, sha256(coalesce(text, '')) AS hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, coalesce(text, '') AS text FROM documents)"""
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN ends_with(path, 'py') THEN 'python' WHEN ends_with(path, 'jsx') THEN 'javascript' WHEN ends_with(path, 'tsx') THEN 'typescript' END AS language, size_bytes, CASE WHEN size_bytes < 1024 THEN printf('%.1f B', CAST(size_bytes AS DOUBLE)) WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS shown, starts_with(path, 'src1/') AS ignored FROM fl WHERE size_bytes <= 1048576")
+def source_files(spark, sf_dir):
+    """Language by suffix, the size filter and the ignore rules, here of one folder."""
+    path = F.col("path")
+    rows = document_files(spark, sf_dir).where(F.col("size_bytes") <= files.MAX_BYTES)
+    return rows.select("path", files.language(path).alias("language"), "size_bytes", report.human_size(F.col("size_bytes")).alias("shown"), files.ignored(path, ["src1/", "*.tmp", "!keep.py"]).alias("ignored"))
+
+
+@query(f"WITH {FILES}, known AS (SELECT path, CASE WHEN toxic = 1 THEN '' ELSE hash END AS known FROM fl JOIN labels USING (doc_id)) SELECT path, CASE WHEN known IS NULL THEN 'new' ELSE 'changed' END AS reason FROM fl LEFT JOIN known USING (path) WHERE known IS NULL OR known <> hash")
+def changed_files(spark, sf_dir):
+    """Files that an index of the labelled documents does not hold, or holds with another hash (the toxic ones)."""
+    rows = document_files(spark, sf_dir).select("doc_id", "path", "hash")
+    index = rows.join(table(spark, sf_dir, "labels"), "doc_id").select("path", F.when(F.col("toxic") == 1, "").otherwise(F.col("hash")).alias("hash"))
+    return store.changed_files(rows, index).join(index.select("path", F.lit(1).alias("k")), "path", "left").select("path", F.when(F.col("k").isNull(), "new").otherwise("changed").alias("reason"))
+
+
+@query("SELECT d.doc_id || ':1:' || len(string_split(coalesce(text, ''), chr(10))) AS block_id, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS churn, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS norm_hash FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def upserted_blocks(spark, sf_dir):
+    """Blocks of all documents after those of the labelled ones came again."""
+    d = table(spark, sf_dir, "documents")
+    bid = store.block_id(F.col("doc_id").cast("string"), F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), "\n")))
+    old = d.select("doc_id", bid.alias("block_id"), F.lit(0).cast("long").alias("churn"), F.lit("chunk").alias("node_type"), F.lit("old").alias("norm_hash"))
+    new = old.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("norm_hash", F.lit("new"))
+    return store.upsert_blocks(old.drop("doc_id"), new.drop("doc_id")).select("block_id", "churn", "norm_hash")
+
+
+@query(f"WITH {FILES}, gone AS (SELECT DISTINCT path FROM fl JOIN labels USING (doc_id) WHERE toxic = 1) SELECT path, size_bytes FROM fl WHERE path NOT IN (SELECT path FROM gone)")
+def deleted_files(spark, sf_dir):
+    rows = document_files(spark, sf_dir)
+    gone = rows.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("path")
+    return rows.join(gone, "path", "left_anti").select("path", "size_bytes")
+
+
+@query("SELECT doc_id, md5(array_to_string(list_transform(l[1:20], lambda x, i: lpad(CAST(i AS VARCHAR), 4, ' ') || ': ' || x), chr(10)) || CASE WHEN len(l) > 20 THEN chr(10) || '... (' || (len(l) - 20) || ' more lines)' ELSE '' END) AS snippet_md5, md5(array_to_string(l[1:5], chr(10))) AS frame_md5 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)")
+def snippets(spark, sf_dir):
+    """The numbered snippet of each document and the frame around its second and third line."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(report.snippet(text).cast("binary")).alias("snippet_md5"), F.md5(report.frame(text, F.lit(2), F.lit(3)).cast("binary")).alias("frame_md5"))
+
+
+# Vectors ---------------------------------------------------------------------------------------------------------------
+VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+COSINE = "CASE WHEN list_dot_product({a}, {a}) * list_dot_product({b}, {b}) = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END"
+#: The stated queries of vector searches.
+EVERY = 50
+
+
+@query(f"WITH {VECTORS} SELECT q.vec_id AS query, c.vec_id AS match, round({COSINE.format(a='q.v', b='c.v')}, 6) AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id AND {COSINE.format(a='q.v', b='c.v')} >= 0.3")
+def vector_neighbours(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.neighbours(v, v.where(f"vec_id % {EVERY} = 0"), "vec_id", "embedding", 0.3).withColumn("score", F.round("score", 6))
+
+
+def _knn_sql(score: str) -> str:
+    return f"WITH {VECTORS}, s AS (SELECT q.vec_id AS query, c.vec_id AS match, round({score}, 6) AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS rank FROM s) SELECT query, match, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20"
+
+
+def _knn(spark, sf_dir, metric):
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.knn(v, v.where(f"vec_id % {EVERY} = 0"), "vec_id", "embedding", 20, metric)
+
+
+@query(_knn_sql(COSINE.format(a="q.v", b="c.v")))
+def knn_cosine(spark, sf_dir):
+    return _knn(spark, sf_dir, "cosine")
+
+
+@query(_knn_sql("1 / (1 + list_dot_product(q.v, q.v) + list_dot_product(c.v, c.v) - 2 * list_dot_product(q.v, c.v))"))
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir, "l2")
+
+
+@query(_knn_sql("list_dot_product(q.v, c.v)"))
+def knn_ip(spark, sf_dir):
+    return _knn(spark, sf_dir, "ip")
+
+
+@query(f"WITH {VECTORS} SELECT a.vec_id AS src, b.vec_id AS match, round({COSINE.format(a='a.v', b='b.v')}, 6) AS semantic_similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE {COSINE.format(a='a.v', b='b.v')} >= 0")
+def semantic_rerank(spark, sf_dir):
+    """Pairs of successive vectors with a cosine that is not negative."""
+    v = table(spark, sf_dir, "embeddings")
+    pairs = v.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("match"))
+    return vectors.rerank(pairs, v, "vec_id", "embedding", 0.0).select("src", "match", F.round("semantic_similarity", 6).alias("semantic_similarity"))
+
+
+@query("SELECT count(*) AS total_vectors, CAST(max(len(embedding)) AS INTEGER) AS dimension, 'cosine' AS metric FROM embeddings")
+def vector_statistics(spark, sf_dir):
+    return vectors.statistics(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+# Events ----------------------------------------------------------------------------------------------------------------
+def change_events(spark, sf_dir) -> DataFrame:
+    """Events as changes of the file of their user; purchases are deletions."""
+    kind = F.when(F.col("event_type") == "purchase", "deleted").when(F.col("event_type") == "signup", "created").otherwise("modified")
+    path = F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.when(F.col("event_type") == "error", ".py.tmp").otherwise(".py"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", path.alias("path"), kind.alias("event_type"))
+
+
+EVENTS = "e AS (SELECT event_id, ts, user_id, 'src/' || user_id || CASE WHEN event_type = 'error' THEN '.py.tmp' ELSE '.py' END AS path, CASE event_type WHEN 'purchase' THEN 'deleted' WHEN 'signup' THEN 'created' ELSE 'modified' END AS event_type FROM events)"
+
+
+@query(f"WITH {EVENTS} SELECT path, event_type, count(*) AS n FROM e WHERE event_type = 'deleted' OR path LIKE '%.py' GROUP BY ALL")
+def event_filter(spark, sf_dir):
+    return change_events(spark, sf_dir).where(E.relevant(F.col("path"), F.col("event_type"))).groupBy("path", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS}, l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600000000 THEN 1 ELSE 0 END AS gap FROM e), s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM l) SELECT user_id, CAST(session AS BIGINT) AS session, path, max_by(event_type, (ts, event_id)) AS event_type, epoch_us(max(ts)) AS ts_us, count(*) AS n_events FROM s GROUP BY user_id, session, path")
+def event_debounce(spark, sf_dir):
+    """The latest event of each path in each burst of a root (user); a pause of an hour ends a burst."""
+    rows = E.debounced(change_events(spark, sf_dir), 3600, "user_id")
+    return rows.select("user_id", "session", "path", "event_type", F.unix_micros("ts").alias("ts_us"), "n_events")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 3 AS accepted FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)")
+def event_rate_limit(spark, sf_dir):
+    """At most three events of a root in a day."""
+    return E.rate_limited(change_events(spark, sf_dir), 3, 86_400, "user_id").select("event_id", "in_window", "accepted")
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN quality = 0 THEN 'suppressed' ELSE 'active' END AS status FROM documents JOIN labels USING (doc_id)) GROUP BY status")
+def status_counts(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id")
+    return rows.groupBy(F.when(F.col("quality") == 0, "suppressed").otherwise("active").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS ts_us FROM events ORDER BY ts DESC, event_id LIMIT 5")
+def recent_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(5).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+__all__ = ["QUERIES", "ORACLES", "Window"]
