@@ -1,10 +1,11 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are split into the pieces on which merges work, the distinct pieces of the corpus form a table, each of them is
-encoded once, and the ids go back to the pieces' positions. The table is sent to all tasks only while its measured size
-is at most ``BROADCAST_BYTES`` (it grows with the corpus, as vocabularies do); beyond it the ids come back by a join on
-the piece, a row for each document and distinct piece, so that a frequent piece is one row in a document, never one for
-each occurrence. Decoding joins ids with the vocabulary, whose size is fixed.
+encoded once, and the ids go back to the pieces' positions. The table grows with the corpus, as vocabularies do, so
+only its most widespread pieces, ``BROADCAST_BYTES`` of them by measured size, are sent to all tasks. A rarer piece is
+encoded once where it stands (``beyond="local"``), or its ids come back by a join on the piece, a row for each document
+and distinct piece (``beyond="join"``, which moves and stores much more). Decoding joins ids with the vocabulary, whose
+size is fixed.
 
 Cases: a null or empty text has no ids and decodes to an empty text; special tokens that stand in a text get their own
 id, as the tokenizers library does; repeated rows give repeated results; an empty table gives an empty table; other
@@ -43,7 +44,8 @@ def _texts(column: pa.Array):
 
 
 def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """(h, ids): a row for each distinct piece of the corpus, encoded once. ``ids``: little-endian unsigned 32-bit."""
+    """(h, ids, n): a row for each distinct piece of the corpus, encoded once, and in how many tasks it stood.
+    ``ids``: little-endian unsigned 32-bit."""
 
     def pieces(batches):
         enc, seen = _encoder(path), set()
@@ -61,10 +63,10 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
         enc = _encoder(path)
         for batch in batches:
             ids = [np.array([s], np.uint32) if s >= 0 else enc.piece_ids(p) for p, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["h", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), batch.column(3)], ["h", "ids", "n"])
 
     found = docs.select(F.col(text).cast("string")).mapInArrow(pieces, "h long, piece string, special long")
-    return found.distinct().mapInArrow(encode, "h long, ids binary")
+    return found.groupBy("h", "piece", "special").agg(F.count("*").alias("n")).mapInArrow(encode, "h long, ids binary, n long")
 
 
 class WordIndex:
@@ -75,26 +77,39 @@ class WordIndex:
         at = np.cumsum(sizes) - sizes
         self.h, self.at, self.sizes, self.flat = h[order], at[order], sizes[order], flat
 
-    def encode(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, enc: Encoder, hashes, starts, ends, joined, counts, sid) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by position; pieces that the index lacks are encoded here, each once."""
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        k = np.searchsorted(self.h, distinct)
-        ids = [self.flat[a : a + n] for a, n in zip(self.at[k].tolist(), self.sizes[k].tolist())]
+        distinct, firsts, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        k = np.minimum(np.searchsorted(self.h, distinct), max(0, len(self.h) - 1))
+        known = self.h[k] == distinct if len(self.h) else np.zeros(len(distinct), bool)
+        ids: list = [None] * len(distinct)
+        for i, a, n in zip(np.flatnonzero(known).tolist(), self.at[k[known]].tolist(), self.sizes[k[known]].tolist()):
+            ids[i] = self.flat[a : a + n]
+        rare = np.flatnonzero(~known)
+        for i, x in zip(rare.tolist(), enc.lookup(distinct[rare], firsts[rare], starts, ends, joined, sid)):
+            ids[i] = x
         return join_back(ids, inverse, counts)
 
 
-def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None, out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None, out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES, beyond: str = "local") -> DataFrame:
     """``docs`` with ``out``: the ids of each text as little-endian unsigned 32-bit integers. ``words``: a saved table."""
     spark = docs.sparkSession
     if words is None:
         words = Workspace(spark).save(word_table(docs, text, path), "words")
     keep = [c for c in docs.columns if c != out]
     schema = docs.select(*keep).schema.add(out, "binary")
-    size = words.agg(F.sum(F.length("ids") + 16)).first()[0] or 0
-    if size > broadcast_bytes:
-        return _encode_by_join(docs.select(*keep), text, path, words, out, schema)
-    table = words.toArrow()
+    # As many of the most widespread pieces as fit; the histogram has a row for each count of tasks.
+    sizes = words.groupBy("n").agg(F.sum(F.length("ids") + 16).alias("size")).orderBy(F.desc("n")).collect()
+    least, left = None, broadcast_bytes
+    for r in sizes:
+        if (left := left - r["size"]) < 0:
+            break
+        least = r["n"]
+    if sizes and left < 0 and beyond == "join":
+        return _encode_by_join(docs.select(*keep), text, path, words.drop("n"), out, schema)
+    table = words.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
     flat, at = text_buffers(table.column("ids"))
     index = spark.sparkContext.broadcast((np.asarray(table.column("h")).astype(np.int64).view(U64), np.frombuffer(flat.tobytes(), np.uint32), np.diff(at) // 4))
 
@@ -103,8 +118,8 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
         for batch in batches:
             k = batch.schema.get_field_index(text)
             for i, texts in _texts(batch.column(k).cast(pa.string())):
-                hashes, _, _, _, counts, _ = enc.split(texts)
-                ids, n = own.encode(hashes, counts)
+                hashes, starts, ends, joined, counts, sid = enc.split(texts)
+                ids, n = own.encode(enc, hashes, starts, ends, joined, counts, sid)
                 cells = binary_array(ids.view(np.uint8), np.concatenate([[0], np.cumsum(n)]) * 4)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, cells], [*keep, out])
 

@@ -48,10 +48,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_bpe(docs, rows, empty, limit):
+@pytest.mark.parametrize(("limit", "beyond"), [(1 << 26, "local"), (9000, "local"), (0, "local"), (0, "join")])
+def test_bpe(docs, rows, empty, limit, beyond):
     tok = Tokenizer.from_file(BYTES)
-    got = {r["doc_id"]: r for r in bpe.digests(bpe.encode(docs, "text", BYTES, broadcast_bytes=limit), BYTES).collect()}
+    got = {r["doc_id"]: r for r in bpe.digests(bpe.encode(docs, "text", BYTES, broadcast_bytes=limit, beyond=beyond), BYTES).collect()}
     assert len(got) == len(rows)
     for i, text, *_ in rows:
         ids = tok.encode(text or "", add_special_tokens=False).ids
