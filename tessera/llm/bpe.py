@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import U64, Workspace, binary_array, conf_partitions, ranges, row_chunks, text_buffers
 from tessera.llm.textsplit import ALPHABET, Encoder, join_back
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Pieces that a task remembers while it removes repeats; beyond it some repeats reach the shuffle.
-SEEN_BOUND = 1_000_000
+SEEN_BOUND = 300_000
 
 
 @lru_cache(4)
@@ -70,12 +70,15 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
 
 
 class WordIndex:
-    """The word table as sorted arrays."""
+    """The word table as sorted arrays; sorted on the driver once, so that workers hold no copies."""
 
-    def __init__(self, h: np.ndarray, flat: np.ndarray, sizes: np.ndarray):
-        order = np.argsort(h, kind="stable")
-        at = np.cumsum(sizes) - sizes
-        self.h, self.at, self.sizes, self.flat = h[order], at[order], sizes[order], flat
+    def __init__(self, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.h, self.at, self.sizes, self.flat = h, at, sizes, flat
+
+    @classmethod
+    def sorted_arrays(cls, h: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple:
+        order, at = np.argsort(h, kind="stable"), np.cumsum(sizes) - sizes
+        return h[order], at[order].astype(np.uint32), sizes[order].astype(np.uint32), flat
 
     def encode(self, enc: Encoder, hashes, starts, ends, joined, counts, sid) -> tuple[np.ndarray, np.ndarray]:
         """Ids by position; pieces that the index lacks are encoded here, each once."""
@@ -111,7 +114,7 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
         return _encode_by_join(docs.select(*keep), text, path, words.drop("n"), out, schema)
     table = words.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
     flat, at = text_buffers(table.column("ids"))
-    index = spark.sparkContext.broadcast((np.asarray(table.column("h")).astype(np.int64).view(U64), np.frombuffer(flat.tobytes(), np.uint32), np.diff(at) // 4))
+    index = spark.sparkContext.broadcast(WordIndex.sorted_arrays(np.asarray(table.column("h")).astype(np.int64).view(U64), np.frombuffer(flat.tobytes(), np.uint32), np.diff(at) // 4))
 
     def run(batches):
         enc, own = _encoder(path), WordIndex(*index.value)
