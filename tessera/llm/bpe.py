@@ -27,6 +27,8 @@ from tessera.llm.common import U64, Workspace, binary_array, conf_partitions, ra
 from tessera.llm.textsplit import ALPHABET, Encoder, join_back
 
 BROADCAST_BYTES = 32 << 20
+#: Text bytes of one vectorised step.
+STEP_BYTES = 1 << 20
 #: Pieces that a task remembers while it removes repeats; beyond it some repeats reach the shuffle.
 SEEN_BOUND = 300_000
 
@@ -39,7 +41,7 @@ def _encoder(path: str) -> Encoder:
 def _texts(column: pa.Array):
     """(first row, texts) of bounded chunks."""
     _, offsets = text_buffers(column)
-    for i, j in row_chunks(offsets):
+    for i, j in row_chunks(offsets, STEP_BYTES):
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -62,8 +64,8 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
     def encode(batches):
         enc = _encoder(path)
         for batch in batches:
-            ids = [np.array([s], np.uint32) if s >= 0 else enc.piece_ids(p) for p, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), batch.column(3)], ["h", "ids", "n"])
+            ids = [s.to_bytes(4, "little") if s >= 0 else enc.piece_ids(p) for p, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(3)], ["h", "ids", "n"])
 
     found = docs.select(F.col(text).cast("string")).mapInArrow(pieces, "h long, piece string, special long")
     return found.groupBy("h", "piece", "special").agg(F.count("*").alias("n")).mapInArrow(encode, "h long, ids binary, n long")
@@ -89,19 +91,23 @@ class WordIndex:
         known = self.h[k] == distinct if len(self.h) else np.zeros(len(distinct), bool)
         ids: list = [None] * len(distinct)
         for i, a, n in zip(np.flatnonzero(known).tolist(), self.at[k[known]].tolist(), self.sizes[k[known]].tolist()):
-            ids[i] = self.flat[a : a + n]
+            ids[i] = self.flat[a : a + n].tobytes()
         rare = np.flatnonzero(~known)
         for i, x in zip(rare.tolist(), enc.lookup(distinct[rare], firsts[rare], starts, ends, joined, sid)):
             ids[i] = x
         return join_back(ids, inverse, counts)
 
 
-def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None, out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES, beyond: str = "local") -> DataFrame:
-    """``docs`` with ``out``: the ids of each text as little-endian unsigned 32-bit integers. ``words``: a saved table."""
+def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None, out: str = "ids", broadcast_bytes: int = BROADCAST_BYTES, beyond: str = "local", decoded: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``out``: the ids of each text as little-endian unsigned 32-bit integers. ``words``: a saved table.
+
+    ``decoded``: a column for the ids decoded again, in the same pass over the ids. ``carry``: the columns of ``docs`` to
+    return, all by default."""
     spark = docs.sparkSession
     if words is None:
         words = Workspace(spark).save(word_table(docs, text, path), "words")
-    keep = [c for c in docs.columns if c != out]
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in (out, decoded)]
+    used = keep if text in keep else [*keep, text]
     schema = docs.select(*keep).schema.add(out, "binary")
     # As many of the most widespread pieces as fit; the histogram has a row for each count of tasks.
     sizes = words.groupBy("n").agg(F.sum(F.length("ids") + 16).alias("size")).orderBy(F.desc("n")).collect()
@@ -111,7 +117,8 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
             break
         least = r["n"]
     if sizes and left < 0 and beyond == "join":
-        return _encode_by_join(docs.select(*keep), text, path, words.drop("n"), out, schema)
+        found = _encode_by_join(docs.select(*used), text, path, words.drop("n"), out, schema)
+        return found if decoded is None else decode(found, out, path, decoded)
     table = words.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
     flat, at = text_buffers(table.column("ids"))
     index = spark.sparkContext.broadcast(WordIndex.sorted_arrays(np.asarray(table.column("h")).astype(np.int64).view(U64), np.frombuffer(flat.tobytes(), np.uint32), np.diff(at) // 4))
@@ -123,10 +130,16 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
             for i, texts in _texts(batch.column(k).cast(pa.string())):
                 hashes, starts, ends, joined, counts, sid = enc.split(texts)
                 ids, n = own.encode(enc, hashes, starts, ends, joined, counts, sid)
-                cells = binary_array(ids.view(np.uint8), np.concatenate([[0], np.cumsum(n)]) * 4)
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, cells], [*keep, out])
+                cells = [binary_array(ids.view(np.uint8), np.concatenate([[0], np.cumsum(n)]) * 4)]
+                if decoded is not None:
+                    parts = np.split(ids, np.cumsum(n)[:-1])
+                    cells.append(pa.array([decode_ids(x, path).decode("utf-8", "replace") for x in parts], pa.string()))
+                carried = [batch.column(c).slice(i, len(texts)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*carried, *cells], schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    if decoded is not None:
+        schema = schema.add(decoded, "string")
+    return docs.select(*used).mapInArrow(run, schema)
 
 
 def _encode_by_join(docs: DataFrame, text: str, path: str, words: DataFrame, out: str, schema) -> DataFrame:
@@ -192,8 +205,10 @@ def decode(docs: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFr
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded``, which has doc_id and ids."""
-    return decode(encoded.select("doc_id", "ids"), "ids", path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded``, which has doc_id, ids and perhaps decoded."""
+    if "decoded" not in encoded.columns:
+        encoded = decode(encoded.select("doc_id", "ids"), "ids", path)
+    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def sha256_hex(raw: bytes) -> str:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path), path)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", path, decoded="decoded", carry=["doc_id"]), path)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

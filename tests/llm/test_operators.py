@@ -52,12 +52,16 @@ def empty(spark):
 def test_bpe(docs, rows, empty, limit, beyond):
     tok = Tokenizer.from_file(BYTES)
     got = {r["doc_id"]: r for r in bpe.digests(bpe.encode(docs, "text", BYTES, broadcast_bytes=limit, beyond=beyond), BYTES).collect()}
+    fused = bpe.encode(docs, "text", BYTES, broadcast_bytes=limit, beyond=beyond, decoded="decoded", carry=["doc_id"])
+    assert fused.columns == ["doc_id", "ids", "decoded"]
+    assert {r["doc_id"]: r for r in bpe.digests(fused, BYTES).collect()} == got
     assert len(got) == len(rows)
     for i, text, *_ in rows:
         ids = tok.encode(text or "", add_special_tokens=False).ids
         want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
     assert bpe.digests(bpe.encode(empty, "text", BYTES), BYTES).count() == 0
+    assert bpe.digests(bpe.encode(empty, "text", BYTES, decoded="decoded", carry=["doc_id"]), BYTES).count() == 0
 
 
 def test_packing(docs, rows, empty):
