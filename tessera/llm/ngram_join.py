@@ -284,7 +284,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         labelled = postings.join(comp, "c", "left").select("g", "c", "n", "w", F.coalesce("comp", "c").alias("comp"))
         mixed = labelled.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("m"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("m > 1")
         mixed = ws.save(mixed, f"mixed{step}")
-        crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0] or 0
+        crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0]
+        crossing = int(crossing or 0)
         if not crossing:
             break
         stuck, before = crossing > 0.8 * before, crossing
