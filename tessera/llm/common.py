@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Text bytes that one vectorised step handles; bounds a Python worker's memory, never the text.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,6 +84,16 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which idle Python workers would otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
