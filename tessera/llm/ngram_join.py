@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, row_chunks, span_hashes, text_buffers, unzip_array, zip_array
+from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers, unzip_array, zip_array
 
 WORDS, PERCENT = 5, 80
 #: The sketch that ranks n-grams: a fixed number of counters, whatever the corpus.
@@ -135,19 +135,19 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spread: int) -> DataFrame:
-    """(g, c, n): prefix n-grams that at least two different sets share, and the size of the set."""
+    """(g, c, pos): prefix n-grams that at least two different sets share, and their places in the set's order."""
 
     def emit(batches):
         held, size, seen = [], 0, set()
 
         def rows():
-            g = np.concatenate([x for x, _, _ in held])
-            lengths = [len(x) for x, _, _ in held]
-            c, n = np.repeat(np.array([k for _, k, _ in held]), lengths), np.repeat(np.array([m for _, _, m in held], np.int32), lengths)
+            g = np.concatenate([x for x, _ in held])
+            lengths = np.array([len(x) for x, _ in held])
+            c, pos = np.repeat(np.array([k for _, k in held]), lengths), ranges(np.zeros_like(lengths), lengths).astype(np.int32)
             own = (mix(g) % U64(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             edges = np.searchsorted(own[order], np.arange(buckets + 1))
-            out = [(b, g[m].tobytes() + c[m].tobytes() + n[m].tobytes()) for b in range(buckets) if len(m := order[edges[b] : edges[b + 1]])]
+            out = [(b, g[m].tobytes() + c[m].tobytes() + pos[m].tobytes()) for b in range(buckets) if len(m := order[edges[b] : edges[b + 1]])]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["bucket", "payload"])
 
         for _, _, sets in _sets(batches, words):
@@ -156,7 +156,7 @@ def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spr
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(k)
-                    held.append((ordered(s, rank.value)[: prefix_length(len(s), percent)], k, len(s)))
+                    held.append((ordered(s, rank.value)[: prefix_length(len(s), percent)], k))
                     size += len(held[-1][0])
             if size > 1_500_000:
                 yield rows()
@@ -166,16 +166,16 @@ def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spr
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         k = [len(p) // 20 for p in pdf["payload"]]
-        g, c, n = (np.concatenate([np.frombuffer(p, t, m, at * m) for p, m in zip(pdf["payload"], k)]) for t, at in ((U64, 0), (np.int64, 8), (np.int32, 16)))
+        g, c, pos = (np.concatenate([np.frombuffer(p, t, m, at * m) for p, m in zip(pdf["payload"], k)]) for t, at in ((U64, 0), (np.int64, 8), (np.int32, 16)))
         order = np.lexsort((c, g))
-        g, c, n = g[order], c[order], n[order]
+        g, c, pos = g[order], c[order], pos[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-        g, c, n = g[new], c[new], n[new]
+        g, c, pos = g[new], c[new], pos[new]
         same = g[1:] == g[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"g": g[keep].view(np.int64), "c": c[keep], "n": n[keep].astype(np.int64)})
+        return pd.DataFrame({"g": g[keep].view(np.int64), "c": c[keep], "pos": pos[keep].astype(np.int64)})
 
-    return docs.mapInArrow(emit, "bucket int, payload binary").repartition(spread, "bucket").groupBy("bucket").applyInPandas(shared, "g long, c long, n long")
+    return docs.mapInArrow(emit, "bucket int, payload binary").repartition(spread, "bucket").groupBy("bucket").applyInPandas(shared, "g long, c long, pos long")
 
 
 def _segments(docs: DataFrame, words: int, rank, cuts) -> DataFrame:
@@ -204,6 +204,21 @@ def possible(found: DataFrame, percent: int) -> DataFrame:
     return counted.where((F.col("k") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).drop("k")
 
 
+def bounded(postings: DataFrame) -> DataFrame:
+    """Adds ``open``, the set's postings, and ``most``, the most n-grams that it can have in common with a set that shares
+    this one: all that come earlier and are in common are postings too, so those that are none count as missed."""
+    own = Window.partitionBy("c")
+    earlier = F.row_number().over(own.orderBy("pos")) - 1
+    return postings.withColumn("most", F.col("n") - F.col("pos") + earlier).withColumn("open", F.count("*").over(own))
+
+
+def reachable(found: DataFrame, percent: int) -> DataFrame:
+    """Rows of pairs that may still reach the threshold, by their sizes, what is missed earlier, and how much is open."""
+    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100.0) - 1 for n in ("na", "nb")))
+    most = F.least("ma", "mb", F.least("oa", "ob") + rest)
+    return found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+
+
 def best_hub(found: DataFrame, percent: int) -> DataFrame:
     """For each set the hub with which it shares most: one pair per set. What this misses, the last round finds."""
     counted = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
@@ -257,7 +272,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     postings = ws.save(_postings(docs, words, percent, rank, buckets, min(buckets, conf_partitions(spark))), "postings", large=True)
 
     # A set whose prefix others share almost wholly has few words of its own: such sets make good hubs.
-    weight = postings.groupBy("c", "n").agg(F.count("*").alias("k")).select("c", (F.col("k") * 1000 / (F.col("n") * (100 - percent) / 100.0 + 1)).cast("int").alias("w"))
+    weight = postings.groupBy("c").agg(F.count("*").alias("k")).join(classes.select("c", "n"), "c").select("c", "n", (F.col("k") * 1000 / (F.col("n") * (100 - percent) / 100.0 + 1)).cast("int").alias("w"))
     postings = ws.save(postings.join(weight, "c"), "weighted", large=True)
     ws.drop("postings")
     comp, open_ = None, postings.withColumn("comp", F.col("c"))
@@ -267,8 +282,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         last = step > 0 and (crossing <= limit or stuck or step == HUB_ROUNDS)
         a = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         if last:
-            b = open_.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            found = a.join(b, "g").where("ca <> cb and a < b")
+            a, b = (bounded(open_).select("g", *(F.col(x).alias(y + k) for x, y in (("c", ""), ("n", "n"), ("comp", "c"), ("most", "m"), ("open", "o")))) for k in "ab")
+            found = reachable(a.join(b, "g").where("ca <> cb and a < b"), percent)
         else:
             mark = (F.col("w"), F.col("c")) if not step else (F.floor(F.col("w") / 100), F.xxhash64("c", F.lit(step)))
             hubs = open_.groupBy("g").agg(F.max(F.struct(*mark, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("hub"))
@@ -281,7 +296,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         comp = connected(ws, edges, f"stars{step}_")
         if last:
             break
-        labelled = postings.join(comp, "c", "left").select("g", "c", "n", "w", F.coalesce("comp", "c").alias("comp"))
+        labelled = postings.join(comp, "c", "left").select("g", "c", "pos", "n", "w", F.coalesce("comp", "c").alias("comp"))
         mixed = labelled.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("m"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("m > 1")
         mixed = ws.save(mixed, f"mixed{step}")
         crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0]
