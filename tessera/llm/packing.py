@@ -29,11 +29,13 @@ END_ID = 1
 BROADCAST_PARTS = 1_000_000
 TABLE = "part int, doc_id long, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Text bytes of one vectorised step, large enough for most pieces of a step to repeat, and pieces that a worker remembers.
+STEP_BYTES, PIECES_KEPT = 1 << 21, 400_000
 
 
 @lru_cache(4)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, PIECES_KEPT)
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -44,7 +46,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         enc, part, before = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for i, j in row_chunks(offsets):
+            for i, j in row_chunks(offsets, STEP_BYTES):
                 ids, n = enc.encode(batch.column(1).slice(i, j - i).to_pylist())
                 ends = np.cumsum(n + 1)
                 flat = np.full(int(ends[-1]), end_id, np.uint32)
