@@ -2,7 +2,7 @@
 
 Shingles are exploded before they are hashed, so the split is done once, and the minima are partial aggregates: a task
 sends one row of ``num_hashes`` numbers for a block, however long the block is. Blocks with equal signatures form a class
-and meet other classes through its smallest id, so exact copies never become pairs with each other.
+and meet other classes through its smallest id; ``member_candidates`` then gives every member the pairs it has itself.
 """
 
 from __future__ import annotations
@@ -51,18 +51,48 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.greatest(F.size(a), F.lit(1)).cast("double")
 
 
-def candidates(queries: DataFrame, index: DataFrame, key: str, ordered: bool = True, max_candidates: int = 50, num_bands: int = 16) -> DataFrame:
-    """(src, match, similarity): blocks that share a bucket, the ``max_candidates`` most alike for each source.
-    ``ordered``: only from later to earlier keys, as blocks meet an index that they join one after the other."""
+def scored(queries: DataFrame, index: DataFrame, key: str, ordered: bool = True, num_bands: int = 16) -> DataFrame:
+    """(src, match, similarity): all blocks that share a bucket."""
     size = 128
     left = bands(queries, key, size, num_bands).select("band", "bucket", F.col(key).alias("src"))
     right = bands(index, key, size, num_bands).select("band", "bucket", F.col(key).alias("match"))
     meet = left.join(right, ["band", "bucket"]).where("src > match" if ordered else "src <> match").select("src", "match").distinct()
     a = queries.select(F.col(key).alias("src"), F.col("signature").alias("x"))
     b = index.select(F.col(key).alias("match"), F.col("signature").alias("y"))
-    scored = meet.join(a, "src").join(b, "match").select("src", "match", estimated_jaccard(F.col("x"), F.col("y")).alias("similarity"))
+    return meet.join(a, "src").join(b, "match").select("src", "match", estimated_jaccard(F.col("x"), F.col("y")).alias("similarity"))
+
+
+def most_alike(pairs: DataFrame, max_candidates: int = 50) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "match"))
-    return scored.withColumn("r", best).where(F.col("r") <= max_candidates).drop("r")
+    return pairs.withColumn("r", best).where(F.col("r") <= max_candidates).drop("r")
+
+
+def candidates(queries: DataFrame, index: DataFrame, key: str, ordered: bool = True, max_candidates: int = 50, num_bands: int = 16) -> DataFrame:
+    """(src, match, similarity): blocks that share a bucket, the ``max_candidates`` most alike for each source.
+    ``ordered``: only from later to earlier keys, as blocks meet an index that they join one after the other."""
+    return most_alike(scored(queries, index, key, ordered, num_bands), max_candidates)
+
+
+def member_candidates(sigs: DataFrame, key: str, max_candidates: int = 50, num_bands: int = 16) -> DataFrame:
+    """The rows of ``candidates(sigs, sigs, key)``, copies included, without a join of all copies in a bucket.
+
+    Classes meet through their smallest keys. Members of a class are equally alike to any block and ties go to smaller keys,
+    so no source needs more of a class than its ``max_candidates`` smallest keys.
+    """
+    digest = F.md5(F.array_join("signature", ",").cast("binary"))
+    reps = classes(sigs, key)
+    named = sigs.select(key, digest.alias("digest"))
+    sizes = named.groupBy("digest").agg(F.min(key).alias("class"), F.max(key).alias("last"))
+    members = named.join(sizes, "digest").select(F.col(key).alias("member"), "class")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("member"))
+    first = members.withColumn("r", place).where(F.col("r") <= max_candidates).select(F.col("class").alias("other"), F.col("member").alias("match"))
+    meet = scored(reps, reps, key, True, num_bands).select(F.col("src").alias("class"), F.col("match").alias("other"), "similarity")
+    # A class also meets one of a larger smallest key if some of its members come after that.
+    back = meet.select(F.col("other").alias("class"), F.col("class").alias("other"), "similarity").join(sizes.where("last > class").select("class", "last"), "class").where("other < last").drop("last")
+    own = sizes.where("last > class").select("class", F.col("class").alias("other"), F.lit(1.0).alias("similarity"))
+    near = meet.union(back).union(own).join(first, "other").select("class", "match", "similarity")
+    pairs = members.join(near, "class").where("match < member").select(F.col("member").alias("src"), "match", "similarity")
+    return most_alike(pairs, max_candidates)
 
 
 def index_statistics(sigs: DataFrame, key: str, num_bands: int = 16, num_hashes: int = 128) -> DataFrame:

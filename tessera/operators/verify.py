@@ -82,8 +82,9 @@ def verify(pairs: DataFrame, a: str = "a", b: str = "b", overlap_threshold: floa
     longest = F.greatest(n, m)
     if prune:
         pairs = pairs.where((longest == 0) | (F.least(n, m) >= least_length_ratio(overlap_threshold) * longest))
-    # Equal arrays need no alignment.
-    rows = pairs.withColumn("__m", F.when(x == y, F.struct(n.alias("lcs"), F.lit(0).alias("ed"))).otherwise(alignment(x, y)))
+    # Equal arrays need no alignment; the function is evaluated for all rows, so theirs are kept from it.
+    own = lambda c: F.when(x != y, c).otherwise(F.slice(c, 1, 0))
+    rows = pairs.withColumn("__m", F.when(x == y, F.struct(n.alias("lcs"), F.lit(0).alias("ed"))).otherwise(alignment(own(x), own(y))))
     one_empty = (F.least(n, m) == 0) & (longest > 0)
     overlap = F.when(longest == 0, 1.0).otherwise(F.try_divide(F.col("__m.lcs").cast("double"), longest))
     density = F.when(longest == 0, 0.0).when(one_empty, 1.0).otherwise(F.try_divide(F.col("__m.ed").cast("double"), longest))

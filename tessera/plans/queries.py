@@ -71,6 +71,10 @@ def class_candidates(spark, sf_dir) -> DataFrame:
     return minhash.candidates(reps, reps, "doc_id")
 
 
+def member_candidates(spark, sf_dir) -> DataFrame:
+    return minhash.member_candidates(document_signatures(spark, sf_dir), "doc_id")
+
+
 @query(CLASSES + " SELECT src, match, round(similarity, 6) AS similarity FROM cand")
 def near_duplicates(spark, sf_dir):
     """Candidate pairs between classes of equal signatures, later to earlier, the 50 most alike of each."""
@@ -183,10 +187,16 @@ def verification_statistics(spark, sf_dir):
 
 @query()
 def verified_duplicates(spark, sf_dir):
-    """Candidates that pass verification, the five best of each source."""
+    """Candidates of every document that pass verification, the five best of each source. Equal texts are verified once."""
     rows = table(spark, sf_dir, "documents").select("doc_id", K.words(F.col("text")).alias("t"))
-    pairs = class_candidates(spark, sf_dir).join(rows.select(F.col("doc_id").alias("src"), F.col("t").alias("a")), "src").join(rows.select(F.col("doc_id").alias("match"), F.col("t").alias("b")), "match")
-    return verify.best_matches(verify.verify(pairs, prune=True)).drop("a", "b")
+    hashes = rows.select("doc_id", K.hash_signature(F.col("t")).alias("h"))
+    copies = hashes.join(hashes.groupBy("h").agg(F.min("doc_id").alias("text_id")), "h").select("doc_id", "text_id")
+    pairs = member_candidates(spark, sf_dir)
+    for side, text in (("src", "x"), ("match", "y")):
+        pairs = pairs.join(copies.select(F.col("doc_id").alias(side), F.col("text_id").alias(text)), side)
+    texts = pairs.select("x", "y").distinct().join(rows.select(F.col("doc_id").alias("x"), F.col("t").alias("a")), "x").join(rows.select(F.col("doc_id").alias("y"), F.col("t").alias("b")), "y")
+    verified = verify.verify(texts, prune=True).drop("a", "b").where("is_duplicate")
+    return verify.best_matches(pairs.join(verified, ["x", "y"]).drop("x", "y").select("match", "src", "similarity", *(c for c in verified.columns if c not in ("x", "y"))))
 
 
 # Scoring and reports ---------------------------------------------------------------------------------------------------
@@ -197,42 +207,71 @@ scored2 AS (SELECT substr(sha256(src || ':' || match), 1, 16) AS finding_id, src
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, similarity DESC, match) AS r5 FROM scored2 WHERE score >= 200) WHERE r5 <= 5)"""
 
 
-def document_findings(spark, sf_dir) -> DataFrame:
+def document_findings(spark, sf_dir, candidates=class_candidates) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), "source", "lang", F.size(K.words(F.col("text"))).alias("tokens"))
-    pairs = class_candidates(spark, sf_dir).where("similarity >= 0.7").join(rows, "src").withColumn("similarity_confidence", F.col("similarity"))
+    pairs = candidates(spark, sf_dir).where("similarity >= 0.7").join(rows, "src").withColumn("similarity_confidence", F.col("similarity"))
     return scoring.findings(pairs)
 
 
 @query(FINDINGS + " SELECT finding_id, src, match, round(similarity, 6) AS similarity, round(score, 6) AS refactor_score, 'near_miss' AS type FROM kept")
-def findings(spark, sf_dir):
-    return document_findings(spark, sf_dir).select("finding_id", "src", "match", F.round("similarity", 6).alias("similarity"), F.round("refactor_score", 6).alias("refactor_score"), "type")
+def findings(spark, sf_dir, candidates=class_candidates):
+    return document_findings(spark, sf_dir, candidates).select("finding_id", "src", "match", F.round("similarity", 6).alias("similarity"), F.round("refactor_score", 6).alias("refactor_score"), "type")
 
 
 @query(FINDINGS + " SELECT count(*) AS total, count(*) FILTER (score >= 500) AS high, count(*) FILTER (score >= 200 AND score < 500) AS medium, count(*) FILTER (score < 200) AS low, count(*) FILTER (score >= 100) AS high_priority, round(coalesce(avg(score), 0), 6) AS avg_score, round(coalesce(min(score), 0), 6) AS min_score, round(coalesce(max(score), 0), 6) AS max_score FROM kept")
-def report_summary(spark, sf_dir):
-    s = scoring.summary(document_findings(spark, sf_dir))
+def report_summary(spark, sf_dir, candidates=class_candidates):
+    s = scoring.summary(document_findings(spark, sf_dir, candidates))
     return s.select("total", "high", "medium", "low", "high_priority", *(F.round(c, 6).alias(c) for c in ("avg_score", "min_score", "max_score")))
 
 
 @query(FINDINGS + " SELECT source AS folder, count(*) AS n_findings, round(max(score), 6) AS best_score, round(list_sort(list(similarity))[len(list(similarity)) // 2 + 1], 6) AS upper_median FROM kept GROUP BY source")
-def findings_by_folder(spark, sf_dir):
-    rows = document_findings(spark, sf_dir).withColumn("folder", scoring.folder_of(F.concat_ws("/", "source", F.col("src").cast("string"))))
+def findings_by_folder(spark, sf_dir, candidates=class_candidates):
+    rows = document_findings(spark, sf_dir, candidates).withColumn("folder", scoring.folder_of(F.concat_ws("/", "source", F.col("src").cast("string"))))
     return rows.groupBy("folder").agg(F.count("*").alias("n_findings"), F.round(F.max("refactor_score"), 6).alias("best_score"), F.round(scoring.upper_median(F.col("similarity")), 6).alias("upper_median"))
 
 
 @query(FINDINGS + " SELECT finding_id, round(score, 6) AS refactor_score FROM kept ORDER BY score DESC, finding_id LIMIT 50")
-def top_findings(spark, sf_dir):
-    return scoring.top_findings(document_findings(spark, sf_dir)).select("finding_id", F.round("refactor_score", 6).alias("refactor_score"))
+def top_findings(spark, sf_dir, candidates=class_candidates):
+    return scoring.top_findings(document_findings(spark, sf_dir, candidates)).select("finding_id", F.round("refactor_score", 6).alias("refactor_score"))
 
 
 @query(FINDINGS + ", q AS (SELECT doc_id, quality FROM labels) SELECT finding_id, CASE WHEN quality = 0 THEN 'suppressed' ELSE 'active' END AS status, CASE WHEN score >= 500 THEN 'high' WHEN score >= 200 THEN 'medium' ELSE 'low' END AS band, score >= 1000 AS high_confidence FROM kept LEFT JOIN q ON q.doc_id = src")
-def finding_status(spark, sf_dir):
+def finding_status(spark, sf_dir, candidates=class_candidates):
     """Findings of documents labelled as poor are suppressed."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("src"), "quality")
-    rows = document_findings(spark, sf_dir).join(labels, "src", "left")
+    rows = document_findings(spark, sf_dir, candidates).join(labels, "src", "left")
     return rows.select("finding_id", F.when(F.col("quality") == 0, "suppressed").otherwise("active").alias("status"), scoring.quality_band(F.col("refactor_score")).alias("band"), (F.col("refactor_score") >= 1000).alias("high_confidence"))
 
 
+# The same over all documents: copies have findings of their own and count in d. The queries above see one document a class.
+MEMBERS = CLASSES.replace("SELECT min(k) AS k, signature FROM sig GROUP BY signature", "SELECT k, signature FROM sig")
+
+
+@query(ORACLES["findings"].replace(CLASSES, MEMBERS))
+def member_findings(spark, sf_dir):
+    return findings(spark, sf_dir, member_candidates)
+
+
+@query(ORACLES["report_summary"].replace(CLASSES, MEMBERS))
+def member_report_summary(spark, sf_dir):
+    return report_summary(spark, sf_dir, member_candidates)
+
+
+@query(ORACLES["findings_by_folder"].replace(CLASSES, MEMBERS))
+def member_findings_by_folder(spark, sf_dir):
+    return findings_by_folder(spark, sf_dir, member_candidates)
+
+
+@query(ORACLES["top_findings"].replace(CLASSES, MEMBERS))
+def member_top_findings(spark, sf_dir):
+    return top_findings(spark, sf_dir, member_candidates)
+
+
+@query(ORACLES["finding_status"].replace(CLASSES, MEMBERS))
+def member_finding_status(spark, sf_dir):
+    return finding_status(spark, sf_dir, member_candidates)
+
+
 @query(f"SELECT lang, count(*) AS n_blocks, sum(n) AS total_tokens, round(avg(n), 6) AS avg_tokens, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT lang, len({WORDS}) AS n FROM documents) GROUP BY lang")
 def blocks_by_language(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", F.size(K.words(F.col("text"))).alias("n"))

@@ -1,5 +1,6 @@
 """Reference operators: hand-computed values and plain versions."""
 
+import math
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions import tokens as K
 from tessera.operators import minhash, report, scoring, store, vectors, verify
+from tessera.plans import queries
 from tessera.sources import blocks, files
 from tessera.streaming import events
 
@@ -79,6 +81,36 @@ def test_minhash_recall(spark):
         minhash.bands(sigs, "id", 65, 8)
 
 
+def copies_table(spark, folder):
+    """Documents with 60 copies of one text, copies of a near one between them, and a lone one."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    other = [*words[:75], "changed", *words[76:]]
+    rows = [(i, " ".join(other if i % 7 == 3 else words), "src1", "en") for i in range(70)] + [(70, "alone " * 3, "src1", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return {i: (1 if i % 7 == 3 else 0) for i in range(70)}
+
+
+def test_copies_have_their_own_candidates(spark, tmp_path):
+    copies_table(spark, tmp_path)
+    sigs = queries.document_signatures(spark, str(tmp_path)).cache()
+    got = {tuple(r) for r in minhash.member_candidates(sigs, "doc_id").select("src", "match", "similarity").collect()}
+    assert got == {tuple(r) for r in minhash.candidates(sigs, sigs, "doc_id").select("src", "match", "similarity").collect()}
+    assert {r[0] for r in got} == set(range(1, 70))
+
+
+def test_copies_are_verified_and_found(spark, tmp_path):
+    group = copies_table(spark, tmp_path)
+    rows = queries.verified_duplicates(spark, str(tmp_path)).collect()
+    assert {r["src"] for r in rows} == set(range(1, 70)) and all(r["match"] < r["src"] for r in rows)
+    assert all((r["similarity_confidence"] == 1.0) == (group[r["src"]] == group[r["match"]]) for r in rows)
+    found = {r["src"]: r["refactor_score"] for r in queries.member_findings(spark, str(tmp_path)).collect()}
+    d = lambda i: min(i, 50)
+    assert set(found) == set(range(1, 70))
+    assert all(abs(found[i] - 150 * (1 + math.log(1 + d(i))) * (1 + 0.1 * (d(i) - 1))) < 1e-5 for i in found)
+    assert queries.member_report_summary(spark, str(tmp_path)).first()["total"] == sum(min(i, 5) for i in range(70))
+
+
 def test_verification_rules(spark):
     ten = list("abcdefghij")
     rows = [(1, 2, ten, ten[:8] + ["x", "y"]), (1, 3, [], []), (1, 4, ten, []), (1, 5, ten, list("klmnopqrst"))]
