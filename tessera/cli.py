@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +64,12 @@ def main(argv: list[str] | None = None) -> int:
     rows = result.findings.withColumn("file_path", F.regexp_extract("src", "^(.*):[0-9]+:[0-9]+$", 1)).persist()
     stages = {"scan": int(1000 * (time.time() - began))}
     if args.json:
-        S.write_json(args.json, S.json.loads(report.as_json(rows, result.statistics())))
+        Path(args.json).parent.mkdir(parents=True, exist_ok=True)
+        with open(args.json, "w") as f:
+            f.writelines(report.json_parts(rows, result.statistics()))
     if args.markdown or not args.json:
         with open(args.markdown or "dupes.md", "w") as f:
-            f.write(report.markdown(rows, stages))
+            f.writelines(f"{line}\n" for line in report.markdown_lines(rows, stages))
     for r in rows.orderBy(F.desc("refactor_score")).limit(3).collect():
         print(f"{r['src']} ~ {r['match']}: {r['refactor_score']:.0f}")
     return 0

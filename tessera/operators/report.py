@@ -1,9 +1,10 @@
-"""Reports: Markdown and JSON of findings; aggregates run in Spark, only the rows that are printed reach the driver."""
+"""Reports: Markdown and JSON of findings; aggregates run in Spark, rows reach the driver one partition at a time."""
 
 from __future__ import annotations
 
 import difflib
 import json
+import textwrap
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +61,38 @@ def by_folder(findings: DataFrame) -> DataFrame:
     return findings.withColumn("folder", folder_of(F.col("file_path"))).orderBy("folder", F.desc("refactor_score"), "finding_id")
 
 
-def markdown(findings: DataFrame, stages: dict[str, int], limit: int = 500) -> str:
+def markdown_lines(findings: DataFrame, stages: dict[str, int]):
+    """The lines of the report, all findings one by one."""
     s = summary(findings).first()
     total = sum(stages.values())
-    out = ["# Duplicate report", "", f"{s['total']} findings, {s['high_priority']} of high priority", "", "| band | findings |", "|-|-|", f"| high | {s['high']} |", f"| medium | {s['medium']} |", f"| low | {s['low']} |", ""]
-    out += ["| stage | ms | % |", "|-|-|-|", *(f"| {k} | {v} | {100 * v / total if total else 0:.1f} |" for k, v in sorted(stages.items())), ""]
+    yield from ("# Duplicate report", "", f"{s['total']} findings, {s['high_priority']} of high priority", "", "| band | findings |", "|-|-|", f"| high | {s['high']} |", f"| medium | {s['medium']} |", f"| low | {s['low']} |", "")
+    yield from ("| stage | ms | % |", "|-|-|-|", *(f"| {k} | {v} | {100 * v / total if total else 0:.1f} |" for k, v in sorted(stages.items())), "")
     folder = None
-    for r in by_folder(findings).limit(limit).toLocalIterator():
+    for r in by_folder(findings).toLocalIterator():
         if r["folder"] != folder:
             folder = r["folder"]
-            out += [f"## {folder}", ""]
-        out.append(f"- `{r['src']}` and `{r['match']}`: {r['type']}, score {r['refactor_score']:.1f}")
-    return "\n".join(out) + "\n"
+            yield from (f"## {folder}", "")
+        yield f"- `{r['src']}` and `{r['match']}`: {r['type']}, score {r['refactor_score']:.1f}"
 
 
-def as_json(findings: DataFrame, statistics: dict, limit: int = 10_000) -> str:
-    rows = [json.loads(x) for x in findings.orderBy(F.desc("refactor_score"), "finding_id").limit(limit).toJSON().collect()]
-    return json.dumps({"metadata": {"version": 1}, "statistics": statistics, "summary": summary(findings).first().asDict(), "findings": rows}, indent=2, default=str)
+def markdown(findings: DataFrame, stages: dict[str, int]) -> str:
+    return "\n".join(markdown_lines(findings, stages)) + "\n"
+
+
+def json_parts(findings: DataFrame, statistics: dict):
+    """The JSON report in parts, all findings one by one, the best first."""
+    head = json.dumps({"metadata": {"version": 1}, "statistics": statistics, "summary": summary(findings).first().asDict()}, indent=2, default=str)
+    yield head.removesuffix("\n}") + ',\n  "findings": ['
+    ordered = findings.orderBy(F.desc("refactor_score"), "finding_id")
+    n = 0
+    for r in ordered.select(F.to_json(F.struct(*ordered.columns)).alias("row")).toLocalIterator():
+        n += 1
+        yield (",\n" if n > 1 else "\n") + textwrap.indent(json.dumps(json.loads(r["row"]), indent=2), "    ")
+    yield ("\n  ]" if n else "]") + "\n}"
+
+
+def as_json(findings: DataFrame, statistics: dict) -> str:
+    return "".join(json_parts(findings, statistics))
 
 
 def messages(findings: DataFrame):

@@ -1,5 +1,6 @@
 """Reference operators: hand-computed values and plain versions."""
 
+import json
 import math
 import random
 
@@ -205,3 +206,12 @@ def test_report(spark, tmp_path):
     with pytest.raises(TypeError):
         (tmp_path / "bad.json").write_text('{"nope": 1}')
         Config.load(tmp_path / "bad.json")
+
+
+def test_reports_hold_all_findings(spark):
+    rows = spark.range(10_500).selectExpr("concat('f', id) finding_id", "concat('a', id) src", "'b' match", "'near_miss' type", "600D + id refactor_score", "concat('d', id % 600, '/a.py') file_path")
+    text, whole = report.markdown(rows, {}), json.loads(report.as_json(rows, {"blocks": 1}))
+    assert text.count("\n- `") == 10_500 and text.count("\n## ") == 600
+    assert [r["src"] for r in whole["findings"]] == [f"a{i}" for i in reversed(range(10_500))]
+    assert whole["summary"]["total"] == 10_500 and whole["statistics"] == {"blocks": 1}
+    assert json.loads(report.as_json(rows.where("false"), {}))["findings"] == []
