@@ -2,8 +2,9 @@
 
 Each shingle of five words is hashed once; the hash's top bits choose one of ``BINS`` bins, and a bin keeps its smallest
 hash. Empty bins are filled by optimal densification: bin b copies the first bin that is not empty among h(b, 1),
-h(b, 2), ..., the same for every document, and after a few tries walks on from there, so that one shingle suffices. The
-low ``BITS`` bits of each bin are stored; the share of equal bins, less what chance makes equal, estimates the likeness.
+h(b, 2), ..., the same for every document. The first tries are written out; rows with few shingles go on in longer and
+longer steps, and only after 2048 tries does a bin walk on from h(b, 0), which no bin does but by a rare chance, or where
+one bin alone is filled and every way ends there. The low ``BITS`` bits of each bin are stored; the share of equal bins, less what chance makes equal, estimates the likeness.
 
 Cases: null, empty and wordless texts have the empty fingerprint; two of those are alike (1), one of them and another are
 not (0); fewer than five words are one shingle; equal texts have equal fingerprints; repeated ids are ordered by a hash of
@@ -20,6 +21,8 @@ from tessera.llm.common import conf_partitions
 WORDS = 5
 BIN_BITS, BITS = 8, 8
 BINS, TRIES = 1 << BIN_BITS, 12
+#: Ends of the further steps, each taken only if all tries before it met empty bins.
+STEPS = (64, 320, 2048)
 
 
 def let(value: Column, body) -> Column:
@@ -58,8 +61,9 @@ def densified(cells: Column) -> Column:
     def fill(d: Column) -> Column:
         def donor(b: Column) -> Column:
             tries = [F.get(d, probe(b, t)) for t in range(TRIES)]
-            walk = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda t: F.get(d, (probe(b, 0) + t) % BINS)), lambda x: x.isNotNull()), F.lit(0))
-            return F.coalesce(*tries, walk)
+            first = lambda start, stop, at: F.get(F.filter(F.transform(F.sequence(F.lit(start), F.lit(stop - 1)), lambda t: F.get(d, at(t))), lambda x: x.isNotNull()), F.lit(0))
+            more = [first(i, j, lambda t: probe(b, t)) for i, j in zip((TRIES, *STEPS), STEPS)]
+            return F.coalesce(*tries, *more, first(1, BINS, lambda t: (probe(b, 0) + t) % BINS))
 
         return F.transform(d, lambda x, b: F.coalesce(x, donor(b)))
 

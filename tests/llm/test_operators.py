@@ -174,6 +174,17 @@ def test_fingerprints(spark, rows, empty):
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Two texts of 10 shingles with 6 in common of 14: bins that are filled at random err less than rotated ones."""
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        a, b = ([f"{k}x{rng.randrange(10**9)}" for _ in range(14)] for _ in "ab")
+        rows.append((k, " ".join(a), " ".join(a[:10] + b[10:])))
+    df = spark.createDataFrame(rows, "k int, a string, b string").select(fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))))
+    got = np.array([r[0] for r in df.collect()])
+    assert abs(got.mean() - 6 / 14) < 0.02 and np.sqrt(((got - 6 / 14) ** 2).mean()) < 0.06
+
+
 def test_fingerprint_plan_is_native(docs):
     plan = fingerprints.compare(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
