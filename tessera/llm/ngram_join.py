@@ -271,6 +271,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     buckets = max(1, -(-int(total * (100 - percent) / 100 * 16) // BUCKET_BYTES))
     postings = ws.save(_postings(docs, words, percent, rank, buckets, min(buckets, conf_partitions(spark))), "postings", large=True)
 
+    # Texts are fetched by id; those that only rows without an id have, by their set.
+    nameless = bool(classes.where("doc_id is null").limit(1).count())
+
     # A set whose prefix others share almost wholly has few words of its own: such sets make good hubs.
     weight = postings.groupBy("c").agg(F.count("*").alias("k")).join(classes.select("c", "n"), "c").select("c", "n", (F.col("k") * 1000 / (F.col("n") * (100 - percent) / 100.0 + 1)).cast("int").alias("w"))
     postings = ws.save(postings.join(weight, "c"), "weighted", large=True)
@@ -289,8 +292,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             hubs = open_.groupBy("g").agg(F.max(F.struct(*mark, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("hub"))
             found = a.join(hubs.select("g", "hub.b", "hub.nb", "hub.cb"), "g").where("ca <> cb")
         pairs = ws.save(possible(found, percent) if last else best_hub(found, percent), f"pairs{step}")
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c")).select("doc_id").distinct()
-        segments = ws.save(_segments(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words, rank, cuts), f"segments{step}", large=True)
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c"))
+        segments = _segments(docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), words, rank, cuts)
+        if nameless:
+            own = _segments(docs.where("doc_id is null"), words, rank, cuts).join(wanted.where("doc_id is null").select("c"), "c", "left_semi")
+            segments = segments.union(own.select("c", "fragment", "grams").dropDuplicates(["c", "fragment"]))
+        segments = ws.save(segments, f"segments{step}", large=True)
         edges = ws.save(edges.union(verified(pairs, segments, percent)), f"edges{step}", large=True)
         ws.drop(f"segments{step}")
         comp = connected(ws, edges, f"stars{step}_")

@@ -125,6 +125,17 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.components(empty).count() == 0
 
 
+def test_ngram_join_without_ids(spark):
+    """Documents 1 and 3 are linked only through a text that rows without an id have."""
+    base = [f"w{i}" for i in range(200)]
+    a, b = base[:185] + [f"a{i}" for i in range(15)], [f"b{i}" for i in range(15)] + base[15:]
+    texts = [(1, " ".join(a)), (None, " ".join(base)), (3, " ".join(b)), (None, " ".join(base)), (None, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert ngram_join.brute_force([(1, texts[0][1]), (3, texts[2][1])])[3] == (196, 3)
+    got = sorted((tuple(r) for r in ngram_join.components(docs).collect()), key=repr)
+    assert got == sorted([(1, 196, 1), (3, 196, 1), (None, 196, 1), (None, 196, 1), (None, 0, None)], key=repr)
+
+
 def test_quality(spark, empty):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(30)) + "."
