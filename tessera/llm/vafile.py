@@ -10,6 +10,7 @@ block, not the query set. Equal vectors are one row with the ``k + 1`` smallest
 can be in a result, and a vector that a third of the rows share costs what one costs.
 
 Cases: vectors that are null, or hold null or non-finite components, or differ from the commonest length, take no part;
+scaled components or scores beyond 64 bits raise an error;
 queries with fewer than k others get all; repeated ids count as separate rows; an empty table gives an empty table.
 """
 
@@ -29,11 +30,11 @@ OUT = "query_id long, rank int, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, for whole finite vectors."""
+    """(vec_id, v): floor(scale * x) of each component, for whole finite vectors; an error where that passes 64 bits."""
     x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
-    fine = x.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)))
-    whole = fine.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
-    return whole
+    fine = x.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    held = lambda c: F.when(F.abs(c * scale) < 2.0**62, F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a scaled component passes 62 bits")).cast("long"))
+    return fine.select("vec_id", F.transform("x", held).alias("v"))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -81,6 +82,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
     by_place = [F.min(F.col("low")[d]) for d in range(width)] + [F.max(F.col("high")[d]) for d in range(width)]
     marks = np.array(list(classes.select("v").mapInArrow(extremes, "low array<long>, high array<long>").agg(*by_place).first()))
     grid = Grid(marks[:width], marks[width:])
+    # The greatest corner of a cell may lie a whole step beyond the range.
+    reach = max(max(abs(int(lo)), abs(int(lo) + CELLS * int(st))) for lo, st in zip(grid.low, grid.step))
 
     def approximate(batches):
         for b in batches:
@@ -95,7 +98,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == i)
         table = own.select("vec_id", "v").toArrow()
         if table.num_rows:
-            parts.append(_block(classes, cells, grid, np.asarray(table.column("vec_id")), _matrix(table.column("v").combine_chunks(), width), k, width, ws, i))
+            parts.append(_block(classes, cells, grid, np.asarray(table.column("vec_id")), _matrix(table.column("v").combine_chunks(), width), k, width, ws, i, reach))
     if not parts:
         return empty
     out = parts[0]
@@ -104,10 +107,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
     return out
 
 
-def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v: np.ndarray, k: int, width: int, ws: Workspace, number: int) -> DataFrame:
+def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v: np.ndarray, k: int, width: int, ws: Workspace, number: int, reach: int) -> DataFrame:
     """The results of one block of queries."""
     spark = classes.sparkSession
     sent = spark.sparkContext.broadcast((ids, v))
+    most_of_all = width * reach * max(abs(int(v.min())), abs(int(v.max())))
+    if most_of_all >= 1 << 62:
+        raise OverflowError("scores may pass 64 bits")
+    # Doubles hold integers up to 2^53; bounds of greater scores are widened by what rounding can cost.
+    slack = 0.0 if most_of_all < 1 << 53 else float(4 * (width + 4) * (most_of_all >> 52) + 1)
 
     def scan(batches):
         """Candidates of this part of the file: those whose upper bound reaches the k-th lower bound found here."""
@@ -119,6 +127,7 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
                 own = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, width)
                 low, high = grid.bounds(own.astype(np.int64))
                 least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
+                least, most = least - slack, most + slack
                 kth = _kth(least, k)
                 qs, xs = np.nonzero(most >= kth[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(qid[qs]), pa.array(np.asarray(part.column(0))[xs]), pa.array(least[qs, xs].astype(np.int64)), pa.array(most[qs, xs].astype(np.int64)), pa.array(np.asarray(part.column(1))[xs])], ["query_id", "class", "least", "most", "n_ids"])

@@ -164,6 +164,20 @@ def test_vafile(spark):
     assert vafile.search(v.where("vec_id < 3"), v.where("vec_id = 0")).count() == 2
 
 
+def test_vafile_large_components(spark):
+    """Finite components count whatever their size; what passes 64 bits is an error, not a row less."""
+    rng = random.Random(2)
+    rows = [(0, [0.001, 0.001]), (1, [1.2e15, 1e15]), (2, [-1.2e15, 1e15]), (3, [float("inf"), 0.0])] + [(i, [rng.uniform(-1.2e15, 1.2e15) for _ in range(2)]) for i in range(4, 200)]
+    v = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    plain = [(r["vec_id"], r["v"]) for r in v.collect()]
+    assert {i for i, _ in plain} == set(range(200)) - {3}
+    assert sorted(tuple(r) for r in vafile.search(v.where("vec_id > 0 or vec_id = 0"), v.where("vec_id = 0")).collect()) == vafile.brute_force(plain, {0})
+    with pytest.raises(OverflowError):
+        vafile.search(v, v.where("vec_id = 1"))
+    with pytest.raises(Exception, match="62 bits"):
+        vafile.integer_vectors(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_fingerprints(spark, rows, empty):
     texts = [t for _, t, *_ in rows if t is None or len(t) < 20000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
