@@ -31,7 +31,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style textarea title template xmp noembed noframes".split())
+#: Unclosed, these hide the rest of the page, as in browsers; other raw tags without an end are passed over.
+TO_END = frozenset(("script", "style"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}, "body": {"head"}}
@@ -127,7 +129,7 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
             if not m[4].rstrip().endswith("/"):
-                at = close.end() if close else end
+                at = close.end() if close else end if tag in TO_END else at
             continue
         if tag == "html":
             continue

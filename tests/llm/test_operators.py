@@ -248,6 +248,19 @@ def test_html_on_held_out_pages():
     assert missed < 0.03 * found and wrong < 0.05 * found
 
 
+def test_html_embedded_tags():
+    text = "A long sentence of the article, with commas, that a reader wants to have. " * 6
+    for tag in "math svg object canvas audio video iframe noscript".split():
+        for close in (f"</{tag}>", ""):
+            page = f"<html><body><article><p>First. {text}</p><{tag}><p>Inner. {text}</p>{close}<p>Last. {text}</p></article></body></html>"
+            held = "".join(x for n in html_extract.parse(page) for x in n.parts if isinstance(x, str))
+            assert all(w in held for w in ("First.", "Inner.", "Last.")), (tag, close)
+            got = html_extract.extract(page, html_extract.trained())
+            assert all(w in got for w in ("First.", "Inner.", "Last.")), (tag, close)
+    held = "".join(x for n in html_extract.parse("<p>a</p><textarea>b<p>c</p>") for x in n.parts if isinstance(x, str))
+    assert "c" in held
+
+
 def test_html_cases(spark):
     page = '<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>T &amp; t</h1><p>One <b>two<br>three.<p>Four\n five, six, seven.</article><footer>&copy; x</footer>'
     rows = [(1, page), (2, None), (3, ""), (4, "plain &lt; text"), (5, "<div>" * 5000), (6, "<script>x"), (7, page)]
