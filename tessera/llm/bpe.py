@@ -4,7 +4,7 @@ Texts are split into the pieces on which merges work, the distinct pieces of the
 encoded once, and the ids go back to the pieces' positions. The table grows with the corpus, as vocabularies do, so
 only its most widespread pieces, ``BROADCAST_BYTES`` of them by measured size, are sent to all tasks. A rarer piece is
 encoded once where it stands (``beyond="local"``), or its ids come back by a join on the piece, a row for each document
-and distinct piece (``beyond="join"``, which moves and stores much more). Decoding joins ids with the vocabulary, whose
+and distinct piece (``beyond="join"``, which moves and stores much more). Decoding looks ids up in the vocabulary, whose
 size is fixed.
 
 Cases: a null or empty text has no ids and decodes to an empty text; special tokens that stand in a text get their own
