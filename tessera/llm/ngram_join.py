@@ -1,38 +1,46 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams of the corpus have one global order: by how often they occur (counted over all documents in a sketch of fixed
-size) and then by hash. The order is cut into fragments; each document falls into segments, overlaps are counted in each
-fragment separately and summed per pair. The sketch only ranks n-grams, so its collisions cannot lose a link.
+All n-grams of the corpus have one global order: by the number of sets that hold them, counted exactly, then by hash. The
+order is cut into fragments; a pair's overlap is counted in each fragment separately, and the sum over the fragments
+decides. Texts are read twice and never shuffled; what moves are hashes of n-grams.
 
-Two documents can reach the threshold only if they share one of the first ``n - ceil(t n) + 1`` n-grams of each in the
-global order. Those postings are kept where at least two different sets share the n-gram. Equal sets are one class, a
-row, from the start. Since components are asked for, not pairs, postings first link to one hub each (pairs stay linear
-in the postings); what is linked is contracted, and every pair that still lies in two components is then verified. So no
-link between different components is lost, and a group of thousands of near copies never becomes its pairs.
+1. A sieve: each block of sets sends every n-gram that it holds, once, to the n-gram's range; the range counts it and sends
+   back the shared ones. An overlap holds shared n-grams only, so a set whose shared ones fall short of the threshold links
+   with nothing and goes. A passage that a third of the corpus holds is one entry a block there, not one a document.
+2. Two sets that link share one of the first ``n - ceil(t n) + 1`` n-grams of each in the global order: the postings. Every
+   set meets the hub of its posting lists with which it shares most; components of those links are contracted.
+3. Every pair of sets that still lies in two components is then settled. Components meet where their members share a posting
+   and no bound on sizes, places and open postings excludes a link; members of those that meet are compared block by block.
+
+So no link between different components is lost, a group of thousands of near copies never becomes its pairs, and what a
+task holds is bounded by blocks, not by groups. Equal sets are one class throughout.
 
 Cases: null or empty texts and texts without words have no n-grams and link with nothing, each is its own component;
 texts of fewer words than an n-gram have one, the whole sequence; repeated rows are linked like any equal texts; null ids
 are carried and never name a component unless alone; an empty table gives an empty table; other columns are ignored.
+``docs`` must give the rows of a partition in the same order when a lost task is repeated, as tables do.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers, unzip_array, zip_array
+from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers
 
 WORDS, PERCENT = 5, 80
-#: The sketch that ranks n-grams: a fixed number of counters, whatever the corpus.
-CELL_BITS = 20
-CELLS, LOW = 1 << CELL_BITS, U64((1 << (64 - CELL_BITS)) - 1)
 FRAGMENTS = 8
-STRIPES = 16
-BUCKET_BYTES = 8 << 20
-HUB_ROUNDS = 6
+#: N-grams that a task holds of a block of the sieve, of a range, and of one side of a comparison.
+BLOCK_GRAMS, RANGE_GRAMS, SIDE_GRAMS = 1 << 20, 1 << 21, 1 << 17
+BLOCK_SETS = 60_000
+#: Pairs of equal n-grams that one vectorised step expands.
+STEP_PAIRS = 1 << 21
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +49,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 FACTORS = mix(np.arange(101, 165, dtype=U64)) | U64(1)
 
 
+# Sets of n-grams -------------------------------------------------------------------------------------------------------
 def gram_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
     """The distinct n-gram hashes of each text, sorted."""
     n = len(offsets) - 1
@@ -87,121 +96,232 @@ def _sets(batches, words):
             yield batch, i, gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
 
 
-def _statistics(docs: DataFrame, words: int) -> DataFrame:
-    """One pass: (doc_id, n, c) of each document, and the stripes of each task's sketch."""
+def _nodes(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, c) of each document: the size of its set and the set's hash."""
 
     def run(batches):
-        counts, types = np.zeros(CELLS, np.int64), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "c", "stripe", "counts"]
         for batch, i, sets in _sets(batches, words):
-            every = np.concatenate(sets) if sets else np.zeros(0, U64)
-            counts += np.bincount((every >> U64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
-            k = len(sets)
-            columns = [batch.column(0).slice(i, k), pa.array([len(s) for s in sets], types[1]), pa.array([set_id(s) for s in sets], types[2]), pa.nulls(k, types[3]), pa.nulls(k, types[4])]
-            yield pa.RecordBatch.from_arrays(columns, names)
-        if counts.any():
-            cells = [zip_array(x) for x in counts.reshape(STRIPES, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(STRIPES, t) for t in types[:3]), pa.array(range(STRIPES), types[3]), pa.array(cells, types[4])], names)
+            columns = [batch.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, c long")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, stripe int, counts binary")
+def needed(n, percent: int):
+    """The least overlap with which a set of ``n`` can link."""
+    return -(-n * percent // 100)
 
 
-def _global_order(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each cell of the sketch, first rank of each fragment): sums of a fixed number of counters."""
+# Arrays as bytes -------------------------------------------------------------------------------------------------------
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value: planes of bytes, since the high bytes of steps and small numbers repeat."""
+    out = [struct.pack("<i", len(arrays))]
+    for a in arrays:
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+        body = pa.compress(planes, "zstd", asbytes=True) if planes else b""
+        out.append(struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(body)) + body)
+    return b"".join(out)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = sum(unzip_array(raw, np.int64, CELLS // STRIPES) for raw in pdf["counts"])
-        return pd.DataFrame({"stripe": pdf["stripe"][:1], "counts": [zip_array(out)]})
 
-    rows = stats.where("stripe is not null").select("stripe", "counts").groupBy("stripe").applyInPandas(total, "stripe int, counts binary").collect()
-    counts = np.zeros(CELLS, np.int64)
-    for r in rows:
-        counts.reshape(STRIPES, -1)[r["stripe"]] = unzip_array(r["counts"], np.int64, CELLS // STRIPES)
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(CELLS, np.uint32)
-    rank[order] = np.arange(CELLS, dtype=np.uint32)
-    mass = np.cumsum(counts[order])
-    cuts = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
-    return rank, cuts.astype(U64)
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    (k,), at, out = struct.unpack_from("<i", raw), 4, []
+    for _ in range(k):
+        kind, n, size = struct.unpack_from("<2sqq", raw, at)
+        dtype = np.dtype(kind.decode())
+        at += 18
+        planes = pa.decompress(raw[at : at + size], n * dtype.itemsize, "zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
+        at += size
+    return out
+
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array; ``np.cumsum`` undoes it."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    return out
 
-def ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The n-grams as their places in the global order, sorted."""
-    return np.sort((rank[(grams >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(64 - CELL_BITS)) | (grams & LOW))
 
+def grouped(keys: np.ndarray):
+    """(first place of each run of equal keys, length of each run)"""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
 
+# The sieve -------------------------------------------------------------------------------------------------------------
+KEYS = "range int, block long, kind int, payload binary"
+LONE, SETS, REPEATED = 0, 1, 2
 
-def _postings(docs: DataFrame, words: int, percent: int, rank, buckets: int, spread: int) -> DataFrame:
-    """(g, c, pos): prefix n-grams that at least two different sets share, and their places in the set's order."""
 
-    def emit(batches):
-        held, size, seen = [], 0, set()
-
-        def rows():
-            g = np.concatenate([x for x, _ in held])
-            lengths = np.array([len(x) for x, _ in held])
-            c, pos = np.repeat(np.array([k for _, k in held]), lengths), ranges(np.zeros_like(lengths), lengths).astype(np.int32)
-            own = (mix(g) % U64(buckets)).astype(np.int64)
-            order = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[order], np.arange(buckets + 1))
-            out = [(b, g[m].tobytes() + c[m].tobytes() + pos[m].tobytes()) for b in range(buckets) if len(m := order[edges[b] : edges[b + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["bucket", "payload"])
+def range_of(grams: np.ndarray, n: int) -> np.ndarray:
+    """The range of each n-gram hash: ``n`` equal parts of the hashes, in order."""
+    return ((grams >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
+
+def _sent(docs: DataFrame, words: int, n_ranges: int) -> DataFrame:
+    """What blocks send. To each range: n-grams that one set of the block holds, with its number, and those that several
+    hold, with how many. About itself: its sets, and which of them hold the n-grams of the second kind."""
+
+    def block_rows(block: int, held: list):
+        lengths = np.array([len(s) for s, _ in held])
+        grams, own = np.concatenate([s for s, _ in held]), np.repeat(np.arange(len(held), dtype=np.uint16), lengths)
+        order = np.argsort(grams, kind="stable")
+        grams, own = grams[order], own[order]
+        first, count = grouped(grams)
+        lone, many = first[count == 1], first[count > 1]
+        a, mine, b, times = grams[lone], own[lone], grams[many], count[count > 1].astype(np.uint32)
+        rows, ra, rb = [], range_of(a, n_ranges), range_of(b, n_ranges)
+        for r in np.union1d(ra, rb).tolist():
+            (i, j), (k, m) = np.searchsorted(ra, [r, r + 1]), np.searchsorted(rb, [r, r + 1])
+            rows.append((r, LONE, packed(steps(a[i:j]), mine[i:j], steps(b[k:m]), times[k:m])))
+        home = block % n_ranges
+        rows.append((home, SETS, packed(np.array([c for _, c in held], np.int64), lengths.astype(np.int64))))
+        rows.append((home, REPEATED, packed(steps(b), times, own[ranges(many, times.astype(np.int64))])))
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array([p for _, _, p in rows], pa.binary())], ["range", "block", "kind", "payload"])
+
+    def emit(batches):
+        block, held, size, seen = TaskContext.get().partitionId() << 32, [], 0, set()
         for _, _, sets in _sets(batches, words):
             for s in sets:
-                if len(s) and (k := set_id(s)) not in seen:
+                if len(s) and (c := set_id(s)) not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    seen.add(k)
-                    held.append((ordered(s, rank.value)[: prefix_length(len(s), percent)], k))
-                    size += len(held[-1][0])
-            if size > 1_500_000:
-                yield rows()
+                    seen.add(c)
+                    held.append((s, c))
+                    size += len(s)
+            if size > BLOCK_GRAMS or len(held) > BLOCK_SETS // 2:
+                for i in range(0, len(held), BLOCK_SETS):
+                    yield block_rows(block, held[i : i + BLOCK_SETS])
+                    block += 1
                 held, size = [], 0
-        if held:
-            yield rows()
+        for i in range(0, len(held), BLOCK_SETS):
+            yield block_rows(block, held[i : i + BLOCK_SETS])
+            block += 1
+
+    return docs.mapInArrow(emit, KEYS)
+
+
+def code_of(count: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of sets: the first key of the global order."""
+    return np.minimum(255, np.round(8 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
+
+
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A range counts its n-grams and answers each block with those that are shared."""
+    own = pdf["kind"].to_numpy() == LONE
+    rows = [unpacked(p) for p in pdf["payload"][own]]
+    parts = [np.cumsum(x, dtype=U64) for r in rows for x in (r[0], r[2])]
+    times = [np.ones(len(r[0]), np.int64) if k == 0 else r[3].astype(np.int64) for r in rows for k in (0, 1)]
+    grams = np.concatenate(parts) if parts else np.zeros(0, U64)
+    order = np.argsort(grams, kind="stable")
+    first, count = grouped(grams[order])
+    sums = np.add.reduceat(np.concatenate(times)[order], first) if len(first) else count
+    total = np.empty(len(grams), np.int64)
+    total[order] = np.repeat(sums, count)
+    at, out = 0, []
+    for r, a, b in zip(rows, parts[::2], parts[1::2]):
+        ta, tb = total[at : at + len(a)], total[at + len(a) : at + len(a) + len(b)]
+        at += len(a) + len(b)
+        keep = ta > 1
+        out.append(packed(steps(a[keep]), r[1][keep], code_of(ta[keep]), code_of(tb)))
+    payload = pdf["payload"].to_numpy().copy()
+    payload[own] = np.array([*out, None], object)[:-1]
+    return pdf.assign(payload=payload)
+
+
+def _sieve(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
+    """(c, n, kept, payload): the sets that can link, a row each, with their shared n-grams in the global order."""
+    spark = docs.sparkSession
+    n_ranges = max(conf_partitions(spark), -(-total // RANGE_GRAMS))
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The sets of a block that hold enough shared n-grams."""
+        pdf = pdf.sort_values("range")
+        kind = pdf["kind"].to_numpy()
+        if (kind == SETS).sum() != 1:
+            raise RuntimeError("rows of a partition changed their order between two runs of a task")
+        c, n = unpacked(pdf["payload"][kind == SETS].iloc[0])
+        b, times, owners = unpacked(pdf["payload"][kind == REPEATED].iloc[0])
+        answers = [unpacked(p) for p in pdf["payload"][kind == LONE]]
+        times = times.astype(np.int64)
+        grams = np.concatenate([*(np.cumsum(x[0], dtype=U64) for x in answers), np.repeat(np.cumsum(b, dtype=U64), times)])
+        own = np.concatenate([*(x[1] for x in answers), owners]).astype(np.int64)
+        code = np.concatenate([*(x[2] for x in answers), np.repeat(np.concatenate([x[3] for x in answers]), times)])
+        kept = np.bincount(own, minlength=len(c))
+        alive = kept >= needed(n, percent)
+        mask = alive[own]
+        grams, own, code = grams[mask], own[mask], code[mask]
+        order = np.lexsort((grams, code, own))
+        grams, code = grams[order], code[order]
+        ends = np.cumsum(kept * alive)
+        cells = [packed(grams[e - k : e], code[e - k : e]) for e, k in zip(ends[alive].tolist(), kept[alive].tolist())]
+        return pd.DataFrame({"c": c[alive], "n": n[alive], "kept": kept[alive], "payload": cells})
+
+    counted = _sent(docs, words, n_ranges).repartition(n_ranges, "range").groupBy("range").applyInPandas(_counted, KEYS)
+    blocks = counted.groupBy("block").applyInPandas(merged, "c long, n long, kept long, payload binary")
+    return blocks.groupBy("c").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("payload").alias("payload"))
+
+
+def _cuts(sets: DataFrame) -> list[tuple[int, int]]:
+    """The first (code, n-gram) of each fragment but the first: equal shares, from a count of each of the 256 codes."""
+
+    def histogram(batches):
+        out = np.zeros(256, np.int64)
+        for b in batches:
+            for p in b.column(0):
+                out += np.bincount(unpacked(p.as_py())[1], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(out)], ["code", "n"])
+
+    found = sets.select("payload").mapInArrow(histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    mass = np.zeros(256)
+    for r in found:
+        mass[r["code"]] = r["n"]
+    ends, out = np.cumsum(mass), []
+    for k in range(1, FRAGMENTS):
+        target = ends[-1] * k / FRAGMENTS
+        code = min(255, int(np.searchsorted(ends, target, "right")))
+        share = (target - (ends[code] - mass[code])) / mass[code] if mass[code] else 0.0
+        out.append((code, min(2**64 - 1, int(share * 2.0**64))))
+    return out
 
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = [len(p) // 20 for p in pdf["payload"]]
-        g, c, pos = (np.concatenate([np.frombuffer(p, t, m, at * m) for p, m in zip(pdf["payload"], k)]) for t, at in ((U64, 0), (np.int64, 8), (np.int32, 16)))
-        order = np.lexsort((c, g))
-        g, c, pos = g[order], c[order], pos[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-        g, c, pos = g[new], c[new], pos[new]
-        same = g[1:] == g[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"g": g[keep].view(np.int64), "c": c[keep], "pos": pos[keep].astype(np.int64)})
 
-    return docs.mapInArrow(emit, "bucket int, payload binary").repartition(spread, "bucket").groupBy("bucket").applyInPandas(shared, "g long, c long, pos long")
+def fragment_of(grams: np.ndarray, code: np.ndarray, cuts) -> np.ndarray:
+    out = np.zeros(len(grams), np.int32)
+    for c, g in cuts:
+        out += (code > c) | ((code == c) & (grams >= U64(g)))
+    return out
 
 
-def _segments(docs: DataFrame, words: int, rank, cuts) -> DataFrame:
-    """(c, fragment, grams): the parts of each set; equal sets may come more than once."""
+# Postings --------------------------------------------------------------------------------------------------------------
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(g, c, n, pos, w): a set's first n-grams in the global order, its unshared ones left out, and their places. ``w``
+    is the share of them that is shared: a set with few words of its own makes a good hub."""
 
     def run(batches):
-        for _, _, sets in _sets(batches, words):
-            out = []
-            for s in sets:
-                if len(s):
-                    k, g = set_id(s), ordered(s, rank.value)
-                    own = np.searchsorted(cuts, g >> U64(64 - CELL_BITS), "right")
-                    for f in np.unique(own).tolist():
-                        out.append((k, f, g[own == f].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["c", "fragment", "grams"])
+        for b in batches:
+            cs, ns, kept = (np.asarray(b.column(k)) for k in range(3))
+            first = (ns - kept).astype(np.int64)
+            prefix = ns - needed(ns, percent) + 1
+            take = np.maximum(prefix - first, 0)
+            grams = [unpacked(p.as_py())[0][:k] for p, k in zip(b.column(3), take.tolist())]
+            w = 1000 * take // prefix
+            columns = [np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64), np.repeat(cs, take), np.repeat(ns, take), ranges(first, take), np.repeat(w, take)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["g", "c", "n", "pos", "w"])
+
+    return sets.select("c", "n", "kept", "payload").mapInArrow(run, "g long, c long, n long, pos long, w long")
 
-    return docs.mapInArrow(run, "c long, fragment int, grams array<long>")
 
+def behind(n: str, percent: int):
+    """What of a set of ``n`` lies behind its postings."""
+    return F.ceil(F.col(n) * percent / 100.0) - 1
 
-def possible(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that their lengths and the number of shared prefix n-grams (a row each) leave possible.
-    What they share is in both prefixes, or behind the prefix that ends first."""
-    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100.0) - 1 for n in ("na", "nb")))
-    sized = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    counted = sized.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return counted.where((F.col("k") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).drop("k")
+
+def best_hub(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, n, b): for each set the hub with which it shares most. What this misses, the last round finds."""
+    met = postings.where(F.col("hub") != F.col("c")).where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    counted = met.groupBy("c", "n", "hub").agg(F.count("*").alias("k"))
+    best = counted.groupBy("c", "n").agg(F.max(F.struct("k", "hub")).alias("x"))
+    return best.where(F.col("x.k") * 800 >= F.col("n") * (100 - percent)).select(F.col("c").alias("a"), "n", F.col("x.hub").alias("b"))
 
 
 def bounded(postings: DataFrame) -> DataFrame:
@@ -212,29 +332,120 @@ def bounded(postings: DataFrame) -> DataFrame:
     return postings.withColumn("most", F.col("n") - F.col("pos") + earlier).withColumn("open", F.count("*").over(own))
 
 
-def reachable(found: DataFrame, percent: int) -> DataFrame:
-    """Rows of pairs that may still reach the threshold, by their sizes, what is missed earlier, and how much is open."""
-    rest = F.greatest(*(F.ceil(F.col(n) * percent / 100.0) - 1 for n in ("na", "nb")))
-    most = F.least("ma", "mb", F.least("oa", "ob") + rest)
-    return found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-
-
-def best_hub(found: DataFrame, percent: int) -> DataFrame:
-    """For each set the hub with which it shares most: one pair per set. What this misses, the last round finds."""
-    counted = found.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    best = counted.groupBy("a", "na").agg(F.max(F.struct("k", "b", "nb")).alias("x")).select("a", "na", "x.*")
-    return best.where(F.col("k") * 800 >= F.col("na") * (100 - percent)).drop("k")
-
-
-def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: overlaps are counted by fragment and summed by pair."""
-    left = segments.select(F.col("c").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = segments.select(F.col("c").alias("b"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("x", "y")).alias("part"))
-    sums = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return sums.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
+def meeting(open_: DataFrame, percent: int) -> DataFrame:
+    """(x, y): components that may hold a link between them. Of the members that share a posting the greatest bounds count,
+    so what no pair of components reaches, no pair of their members does. A link's overlap lies in the postings of both
+    sets, or behind those of the one whose end first."""
+    sides = bounded(open_).groupBy("g", "comp").agg(F.max("most").alias("m"), F.max("open").alias("o"), F.min("n").alias("l"), F.max("n").alias("h"))
+    a, b = (sides.select("g", *(F.col(x).alias(x + k) for x in ("comp", "m", "o", "l", "h"))) for k in "ab")
+    rest = F.greatest(behind("ha", percent), behind("hb", percent))
+    least = percent * (F.col("la") + F.col("lb"))
+    fits = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
+    reach = F.least("ma", "mb", F.least("oa", "ob") + rest) * (100 + percent) >= least
+    met = a.join(b, "g").where((F.col("compa") < F.col("compb")) & fits & reach)
+    counted = met.groupBy(F.col("compa").alias("x"), F.col("compb").alias("y")).agg(F.count("*").alias("k"), F.min("la").alias("la"), F.min("lb").alias("lb"), F.max("ha").alias("ha"), F.max("hb").alias("hb"))
+    return counted.where((F.col("k") + rest) * (100 + percent) >= least).select("x", "y")
+
+
+# Counting by fragment --------------------------------------------------------------------------------------------------
+def overlaps(job: np.ndarray, side: np.ndarray, sizes: np.ndarray, grams: np.ndarray):
+    """(left row, right row, n-grams in common) of all pairs of rows of one job and different sides."""
+    row = np.repeat(np.arange(len(job)), sizes)
+    key = mix(grams ^ mix(job.view(U64))[row])
+    left, right = np.flatnonzero(side[row] == 0), np.flatnonzero(side[row] == 1)
+    right = right[np.argsort(key[right], kind="stable")]
+    keys = key[right]
+    lo, hi = np.searchsorted(keys, key[left], "left"), np.searchsorted(keys, key[left], "right")
+    hit = hi > lo
+    left, lo, count = left[hit], lo[hit], (hi - lo)[hit]
+    ends, pairs, sums, i = np.cumsum(count), [], [], 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP_PAIRS, "right")))
+        both = np.repeat(row[left[i:j]], count[i:j]) * len(job) + row[right[ranges(lo[i:j], count[i:j])]]
+        found, times = np.unique(both, return_counts=True)
+        pairs.append(found)
+        sums.append(times)
+        i = j
+    if not pairs:
+        return (np.zeros(0, np.int64),) * 3
+    both, times = np.concatenate(pairs), np.concatenate(sums)
+    order = np.argsort(both, kind="stable")
+    first, _ = grouped(both[order])
+    return both[order][first] // len(job), both[order][first] % len(job), np.add.reduceat(times[order], first)
+
+
+def verified(ws: Workspace, seats: DataFrame, sets: DataFrame, cuts, percent: int, name: str) -> DataFrame:
+    """(a, b): for each right set b of a job (job, side, c, n) a left set a with which it links, if there is one. Each
+    fragment counts what pairs have in common there; the sums over the fragments decide."""
+    seats = ws.save(seats, f"{name}_seats")
+    total = seats.agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(conf_partitions(seats.sparkSession), -(-total // RANGE_GRAMS))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for bucket, job, side, c, n, raw in zip(*(b.column(k).to_pylist() for k in range(6))):
+                grams, code = unpacked(raw)
+                own = fragment_of(grams, code, cuts)
+                for f in np.unique(own).tolist():
+                    out.append((bucket, f, job, side, c, n, grams[own == f].tobytes()))
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["bucket", "fragment", "job", "side", "c", "n", "grams"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = np.frombuffer(b"".join(pdf["grams"]), U64)
+        job, c, n = (pdf[x].to_numpy(np.int64) for x in ("job", "c", "n"))
+        a, b, k = overlaps(job, pdf["side"].to_numpy(), pdf["grams"].map(len).to_numpy(np.int64) // 8, grams)
+        return pd.DataFrame({"bucket": pdf["bucket"][:1], "payload": [packed(job[a], c[a], c[b], n[a] + n[b], k.astype(np.int64))]})
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        job, a, b, n, k = (np.concatenate(x) for x in zip(*(unpacked(p) for p in pdf["payload"])))
+        order = np.lexsort((a, b, job))
+        job, a, b, n, k = job[order], a[order], b[order], n[order], k[order]
+        if not len(job):
+            return pd.DataFrame({"a": a, "b": b})
+        first = np.flatnonzero(np.concatenate([[True], (job[1:] != job[:-1]) | (b[1:] != b[:-1]) | (a[1:] != a[:-1])]))
+        both = np.add.reduceat(k, first)
+        linked = first[100 * both >= percent * (n[first] - both)]
+        job, a, b = job[linked], a[linked], b[linked]
+        new = np.concatenate([[True], (job[1:] != job[:-1]) | (b[1:] != b[:-1])])[: len(b)]
+        return pd.DataFrame({"a": a[new], "b": b[new]})
+
+    placed = seats.withColumn("bucket", F.pmod("job", F.lit(n_buckets)).cast("int")).drop("n").join(sets.select("c", "n", "payload"), "c")
+    parts = placed.select("bucket", "job", "side", "c", "n", "payload").mapInArrow(cut, "bucket int, fragment int, job long, side int, c long, n long, grams binary")
+    partial = parts.groupBy("bucket", "fragment").applyInPandas(count, "bucket int, payload binary")
+    return ws.save(partial.groupBy("bucket").applyInPandas(decide, "a long, b long"), f"{name}_links", large=True)
+
+
+def blocks(n_grams):
+    """The number of blocks of a side with that many n-grams."""
+    return F.greatest(F.lit(1), F.ceil(n_grams / float(SIDE_GRAMS))).cast("int")
+
+
+def hub_seats(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Jobs of one hub and a block of the sets that meet it."""
+    sizes = pairs.groupBy("b").agg(blocks(F.sum("n")).alias("k"))
+    right = pairs.join(sizes, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), "k")).alias("job"), F.lit(1).alias("side"), F.col("a").alias("c"), "n")
+    left = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1).cast("array<long>")).alias("i"), "k").join(classes, F.col("b") == F.col("c"))
+    return right.union(left.select(F.xxhash64("b", F.pmod("i", "k")).alias("job"), F.lit(0).alias("side"), "c", "n"))
+
+
+def component_seats(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Jobs of a block of a component's members and a block of the members of all components that it meets. Of two that
+    meet, the one of more members is on the left, so its members are sent once, not once for each other component."""
+    size = members.groupBy("comp").agg(F.count("*").alias("s"), blocks(F.sum("n")).alias("k"))
+    a, b = (size.select(F.col("comp").alias(x), F.struct("s", F.col("comp").alias("i")).alias(f"s{x}")) for x in "xy")
+    met = pairs.join(a, "x").join(b, "y").select(F.greatest("sx", "sy")["i"].alias("x"), F.least("sx", "sy")["i"].alias("y"))
+    other = met.join(members.select(F.col("comp").alias("y"), "c", "n"), "y").select("x", "c", "n")
+    width = other.groupBy("x").agg(blocks(F.sum("n")).alias("kr")).join(size.select(F.col("comp").alias("x"), "k"), "x")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1).cast("array<long>"))
+    own = lambda k: F.pmod(F.xxhash64("c"), k).cast("long")
+    left = members.select(F.col("comp").alias("x"), "c", "n").join(width, "x").select("x", own("k").alias("i"), every("kr").alias("j"), F.lit(0).alias("side"), "c", "n")
+    right = other.join(width, "x").select("x", every("k").alias("i"), own("kr").alias("j"), F.lit(1).alias("side"), "c", "n")
+    return left.union(right).select(F.xxhash64("x", "i", "j").alias("job"), "side", "c", "n")
+
+
+# Components ------------------------------------------------------------------------------------------------------------
 def connected(ws: Workspace, edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
     """(c, comp) for the nodes of ``edges`` (a, b); comp is the smallest node. Alternating large and small stars."""
     mark = F.xxhash64("u", "v").cast("decimal(38,0)")
@@ -251,74 +462,53 @@ def connected(ws: Workspace, edges: DataFrame, name: str = "stars", rounds: int
         ws.drop(f"{name}{k - 1}" if k else f"{name}_")
         now = edges.agg(F.count("*"), F.sum(mark)).first()
         if now == state:
-            break
+            return edges.select(F.col("u").alias("c"), F.col("v").alias("comp"))
         state = now
-    return edges.select(F.col("u").alias("c"), F.col("v").alias("comp"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _linked(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, comp) of the sets that link with others."""
+    cuts = _cuts(sets)
+    classes = sets.select("c", "n")
+    every = ws.save(_postings(sets, percent), "prefixes")
+    lists = every.groupBy("g").agg(F.count("*").alias("m"), F.max(F.struct("w", "c", "n")).alias("hub")).where("m > 1")
+    postings = ws.save(every.join(lists, "g").select("g", "c", "n", "pos", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "postings")
+    ws.drop("prefixes")
+    pairs = ws.save(best_hub(postings, percent), "hubs")
+    first = connected(ws, verified(ws, hub_seats(pairs, classes), sets, cuts, percent, "hub"), "stars")
+
+    labelled = postings.select("g", "c", "n", "pos").join(first, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    mixed = labelled.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("g")
+    open_ = ws.save(labelled.join(mixed, "g", "left_semi"), "open")
+    ws.drop("postings")
+    members = open_.select("comp", "c", "n").distinct()
+    met = ws.save(meeting(open_, percent), "meeting")
+    links = verified(ws, component_seats(met, members), sets, cuts, percent, "last")
+    named = lambda x: first.select(F.col("c").alias(x), F.col("comp").alias(f"c{x}"))
+    joined = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = connected(ws, joined, "last_stars")
+    over = second.select(F.col("c").alias("comp"), F.col("comp").alias("top"))
+    whole = first.join(over, "comp", "left").select("c", F.coalesce("top", "comp").alias("comp"))
+    return whole.union(second.join(first.select("c"), "c", "left_anti"))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
-    spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
+    ws = Workspace(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    stats = ws.save(_statistics(docs, words), "stats")
-    nodes = stats.where("stripe is null").select("doc_id", "n", "c")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rank, cuts = _global_order(stats)
-    rank = spark.sparkContext.broadcast(rank)
-    classes = ws.save(nodes.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
-    buckets = max(1, -(-int(total * (100 - percent) / 100 * 16) // BUCKET_BYTES))
-    postings = ws.save(_postings(docs, words, percent, rank, buckets, min(buckets, conf_partitions(spark))), "postings", large=True)
-
-    # Texts are fetched by id; those that only rows without an id have, by their set.
-    nameless = bool(classes.where("doc_id is null").limit(1).count())
-
-    # A set whose prefix others share almost wholly has few words of its own: such sets make good hubs.
-    weight = postings.groupBy("c").agg(F.count("*").alias("k")).join(classes.select("c", "n"), "c").select("c", "n", (F.col("k") * 1000 / (F.col("n") * (100 - percent) / 100.0 + 1)).cast("int").alias("w"))
-    postings = ws.save(postings.join(weight, "c"), "weighted", large=True)
-    ws.drop("postings")
-    comp, open_ = None, postings.withColumn("comp", F.col("c"))
-    edges = postings.select(F.col("c").alias("a"), F.col("c").alias("b")).where("false")
-    limit, crossing, before, stuck = postings.count() + 10_000, None, float("inf"), False
-    for step in range(HUB_ROUNDS + 1):
-        last = step > 0 and (crossing <= limit or stuck or step == HUB_ROUNDS)
-        a = open_.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        if last:
-            a, b = (bounded(open_).select("g", *(F.col(x).alias(y + k) for x, y in (("c", ""), ("n", "n"), ("comp", "c"), ("most", "m"), ("open", "o")))) for k in "ab")
-            found = reachable(a.join(b, "g").where("ca <> cb and a < b"), percent)
-        else:
-            mark = (F.col("w"), F.col("c")) if not step else (F.floor(F.col("w") / 100), F.xxhash64("c", F.lit(step)))
-            hubs = open_.groupBy("g").agg(F.max(F.struct(*mark, F.col("c").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("hub"))
-            found = a.join(hubs.select("g", "hub.b", "hub.nb", "hub.cb"), "g").where("ca <> cb")
-        pairs = ws.save(possible(found, percent) if last else best_hub(found, percent), f"pairs{step}")
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("c"))
-        segments = _segments(docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), words, rank, cuts)
-        if nameless:
-            own = _segments(docs.where("doc_id is null"), words, rank, cuts).join(wanted.where("doc_id is null").select("c"), "c", "left_semi")
-            segments = segments.union(own.select("c", "fragment", "grams").dropDuplicates(["c", "fragment"]))
-        segments = ws.save(segments, f"segments{step}", large=True)
-        edges = ws.save(edges.union(verified(pairs, segments, percent)), f"edges{step}", large=True)
-        ws.drop(f"segments{step}")
-        comp = connected(ws, edges, f"stars{step}_")
-        if last:
-            break
-        labelled = postings.join(comp, "c", "left").select("g", "c", "pos", "n", "w", F.coalesce("comp", "c").alias("comp"))
-        mixed = labelled.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("m"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("m > 1")
-        mixed = ws.save(mixed, f"mixed{step}")
-        crossing = mixed.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0]
-        crossing = int(crossing or 0)
-        if not crossing:
-            break
-        stuck, before = crossing > 0.8 * before, crossing
-        open_ = ws.save(labelled.join(mixed.select("g"), "g", "left_semi"), f"open{step}")
-
-    grouped = classes.join(comp, "c", "left").select("c", "doc_id", F.coalesce("comp", "c").alias("comp"))
-    smallest = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(smallest, "comp").select("c", "component_id")
+    nodes = ws.save(_nodes(docs, words), "nodes")
     filled, empty = nodes.where("n > 0"), nodes.where("n = 0")
-    out = filled.join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(empty.select("doc_id", "n", "doc_id"))
+    total = filled.agg(F.sum("n")).first()[0] or 0
+    alone = empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if not total:
+        return alone
+    sets = ws.save(_sieve(docs, words, percent, total), "sets", large=True)
+    linked = _linked(ws, sets, percent)
+    classes = filled.groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(linked, "c", "left").select("c", "doc_id", F.coalesce("comp", "c").alias("comp"))
+    smallest = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(smallest, "comp").select("c", "component_id")
+    return filled.join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def brute_force(texts: list[tuple[int, str | None]], words: int = WORDS, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
