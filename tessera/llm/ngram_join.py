@@ -32,15 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers
+from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers, trim
 
 WORDS, PERCENT = 5, 80
 FRAGMENTS = 8
 #: N-grams that a task holds of a block of the sieve, of a range, and of one side of a comparison.
-BLOCK_GRAMS, RANGE_GRAMS, SIDE_GRAMS = 1 << 20, 1 << 21, 1 << 17
+BLOCK_GRAMS, RANGE_GRAMS, SIDE_GRAMS = 1 << 19, 1 << 20, 1 << 17
 BLOCK_SETS = 60_000
 #: Pairs of equal n-grams that one vectorised step expands.
-STEP_PAIRS = 1 << 21
+STEP_PAIRS = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -211,13 +211,15 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf["kind"].to_numpy() == LONE
     rows = [unpacked(p) for p in pdf["payload"][own]]
     parts = [np.cumsum(x, dtype=U64) for r in rows for x in (r[0], r[2])]
-    times = [np.ones(len(r[0]), np.int64) if k == 0 else r[3].astype(np.int64) for r in rows for k in (0, 1)]
     grams = np.concatenate(parts) if parts else np.zeros(0, U64)
     order = np.argsort(grams, kind="stable")
     first, count = grouped(grams[order])
-    sums = np.add.reduceat(np.concatenate(times)[order], first) if len(first) else count
-    total = np.empty(len(grams), np.int64)
-    total[order] = np.repeat(sums, count)
+    del grams
+    total = np.empty(len(order), np.uint32)
+    if len(first):
+        times = np.concatenate([np.ones(len(r[0]), np.uint32) if k == 0 else r[3] for r in rows for k in (0, 1)])
+        total[order] = np.repeat(np.add.reduceat(times[order], first), count)
+    del order, first, count
     at, out = 0, []
     for r, a, b in zip(rows, parts[::2], parts[1::2]):
         ta, tb = total[at : at + len(a)], total[at + len(a) : at + len(a) + len(b)]
@@ -226,6 +228,8 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
         out.append(packed(steps(a[keep]), r[1][keep], code_of(ta[keep]), code_of(tb)))
     payload = pdf["payload"].to_numpy().copy()
     payload[own] = np.array([*out, None], object)[:-1]
+    del rows, parts, total
+    trim()
     return pdf.assign(payload=payload)
 
 
@@ -253,8 +257,11 @@ def _sieve(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
         grams, own, code = grams[mask], own[mask], code[mask]
         order = np.lexsort((grams, code, own))
         grams, code = grams[order], code[order]
+        del answers, own, order, mask
         ends = np.cumsum(kept * alive)
         cells = [packed(grams[e - k : e], code[e - k : e]) for e, k in zip(ends[alive].tolist(), kept[alive].tolist())]
+        del grams, code
+        trim()
         return pd.DataFrame({"c": c[alive], "n": n[alive], "kept": kept[alive], "payload": cells})
 
     counted = _sent(docs, words, n_ranges).repartition(n_ranges, "range").groupBy("range").applyInPandas(_counted, KEYS)
