@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import os
 import shutil
 import tempfile
 import uuid
@@ -159,6 +158,9 @@ def conf_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_folder(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
-    return path
+def spare(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores until none of ``columns`` has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -15,7 +15,8 @@ and key, not one per copy, so no bucket grows with a group of copies.
 
 Cases: a null text is empty; texts under ``length`` bytes keep everything; equal texts: the smallest id keeps its bytes;
 rows with one id are ordered by a hash of their text, and equal rows count as separate documents; a null id comes first;
-an empty table gives an empty table; long texts are scanned in overlapping segments. Other columns are carried along.
+an empty table gives an empty table; long texts are scanned in overlapping segments. Other columns are carried along,
+those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, powers, prefix_hashes, ranges, row_chunks, span_hashes, text_buffers
+from tessera.llm.common import BYTE_CODES, U64, Workspace, conf_partitions, mix, powers, prefix_hashes, ranges, row_chunks, span_hashes, spare, text_buffers
 
 LENGTH, GRAM = 100, 40
 POSITION_BITS = U64(22)
@@ -207,12 +208,14 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "batch": pdf["batch"].to_numpy(), "payload": out})
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 1 << 21) -> DataFrame:
-    """``docs`` (doc_id, text and others) with n_bytes, n_removed, n_spans and kept, the bytes that remain."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 1 << 21, as_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text and others) with n_bytes, n_removed, n_spans and kept, the bytes that remain; ``as_text``: as a
+    string, in which a character of which a byte went is gone."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession)
     docs = docs.drop(*[c for c, _ in RESULT if c in docs.columns]).withColumn("text", F.col("text").cast("string"))
     columns, parts = docs.columns, conf_partitions(spark)
-    dealt = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
+    tie = spare(columns, "tie")
+    dealt = docs.withColumn(tie, F.xxhash64("text")).repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     batches = ws.save(_pack(columns, dealt, batch_bytes), "batches", large=True)
     del dealt
     total = batches.agg(F.sum("n_bytes")).first()[0] or 0
@@ -254,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
 
     opening = batches.select("batch", "payload").join(replies(sieved), "batch", "left").mapInArrow(windows, KEYS)
     indexed = ws.save(opening.repartition(spread, "bucket").groupBy("bucket").applyInPandas(_index, KEYS), "indexed", large=True)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType() if t == "long" else T.BinaryType()) for c, t in RESULT)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType() if t == "long" else T.StringType() if as_text else T.BinaryType()) for c, t in RESULT)])
 
     def apply(rows):
         for batch in rows:
@@ -284,7 +287,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         spans = np.concatenate([[0], np.cumsum(begins)])
         kept, keep_at = x.data[~gone], at - sums[at]
         cells = [kept[a:b].tobytes() for a, b in zip(keep_at[:-1].tolist(), keep_at[1:].tolist())]
-        extra = [pa.array(np.diff(at)), pa.array(np.diff(sums[at])), pa.array(np.diff(spans[at])), pa.array(cells, pa.binary())]
+        cells = pa.array([c.decode("utf-8", "ignore") for c in cells], pa.string()) if as_text else pa.array(cells, pa.binary())
+        extra = [pa.array(np.diff(at)), pa.array(np.diff(sums[at])), pa.array(np.diff(spans[at])), cells]
         flat = table.combine_chunks().to_batches()[0]
         return pa.RecordBatch.from_arrays([*flat.columns, *extra], names)
 
@@ -296,17 +300,12 @@ def digests(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def kept_text(removed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of documents with the text that remains; a character of which a byte went is gone, n_chars follows."""
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = removed.withColumn("text", text_of("kept"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(removed.schema["n_chars"].dataType))
-    return out.select(*columns)
+def kept_text(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the text that remains; n_chars, if there is one, follows."""
+    out = remove_repeats(docs, as_text=True, **options).withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def brute_force(texts: list[tuple[int, bytes]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

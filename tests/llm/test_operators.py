@@ -92,7 +92,7 @@ def test_suffix_dedup(docs, rows, empty):
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(suffix_dedup.remove_repeats(docs, batch_bytes=4000)).collect()}
     assert got == suffix_dedup.brute_force([(i, (t or "").encode()) for i, t, *_ in rows])
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    kept = suffix_dedup.kept_text(suffix_dedup.remove_repeats(docs), docs.columns)
+    kept = suffix_dedup.kept_text(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
