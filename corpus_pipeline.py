@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that also start earlier go; n_chars follows the text."""
-    return suffix_dedup.kept_text(suffix_dedup.remove_repeats(docs), docs.columns)
+    return suffix_dedup.kept_text(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
