@@ -76,19 +76,23 @@ def positions(blocks: DataFrame, key: str, toks: str, lang: str) -> DataFrame:
     return rows.withColumn("norm", norm).drop("__lang")
 
 
-def normalize(blocks: DataFrame, key: str = "block_id", toks: str = "tokens", lang: str = "lang") -> DataFrame:
-    """``blocks`` with normalized_tokens, token_mapping (last occurrence wins), reverse_mapping and hash_signature."""
+def normalize(blocks: DataFrame, key: str = "block_id", toks: str = "tokens", lang: str = "lang", mappings: bool = True) -> DataFrame:
+    """``blocks`` with normalized_tokens and hash_signature, and with ``mappings`` token_mapping (last occurrence wins) and
+    reverse_mapping. Each mapping is an aggregate over the block's tokens, so the work is linear in its length."""
     rows = positions(blocks, key, toks, lang)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "norm", "token")))
-    per_block = rows.groupBy(key).agg(ordered.alias("__o"))
-    changed = F.filter("__o", lambda x: x["norm"] != x["token"])
-    names = F.array_distinct(F.transform(changed, lambda x: x["token"]))
-    forward = F.map_from_arrays(names, F.transform(names, lambda t: F.element_at(F.filter(changed, lambda x: x["token"] == t), -1)["norm"]))
-    marks = F.array_distinct(F.transform(changed, lambda x: x["norm"]))
-    back = F.map_from_arrays(marks, F.transform(marks, lambda m: F.transform(F.filter(changed, lambda x: x["norm"] == m), lambda x: x["token"])))
-    found = per_block.select(key, F.transform("__o", lambda x: x["norm"]).alias("normalized_tokens"), forward.alias("token_mapping"), back.alias("reverse_mapping"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "norm")))
+    found = rows.groupBy(key).agg(F.transform(ordered, lambda x: x["norm"]).alias("normalized_tokens"))
     out = blocks.join(found, key, "left").withColumn("normalized_tokens", F.coalesce("normalized_tokens", F.array().cast("array<string>")))
-    return out.withColumn("hash_signature", hash_signature(F.col("normalized_tokens")))
+    out = out.withColumn("hash_signature", hash_signature(F.col("normalized_tokens")))
+    if not mappings:
+        return out
+    changed = rows.where(F.col("norm") != F.col("token"))
+    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    forward = changed.groupBy(key, "token").agg(F.max_by("norm", "pos").alias("to")).groupBy(key).agg(entries("token", "to").alias("token_mapping"))
+    own = changed.groupBy(key, "norm").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("o")).select(key, "norm", F.transform("o", lambda x: x["token"]).alias("from"))
+    back = own.groupBy(key).agg(entries("norm", "from").alias("reverse_mapping"))
+    out = out.join(forward, key, "left").join(back, key, "left")
+    return out.withColumn("token_mapping", F.coalesce("token_mapping", F.create_map().cast("map<string,string>"))).withColumn("reverse_mapping", F.coalesce("reverse_mapping", F.create_map().cast("map<string,array<string>>")))
 
 
 def hash_signature(toks: Column) -> Column:

@@ -6,6 +6,7 @@ import difflib
 import json
 import textwrap
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,7 +14,7 @@ from pyspark.sql.types import StringType
 from tessera.operators.scoring import folder_of, summary
 
 # Highlight names by suffix.
-HIGHLIGHT = {"py": "python", "js": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "java": "java", "cpp": "cpp", "c": "c", "h": "c", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql"}
+HIGHLIGHT = {"py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "go": "go", "rs": "rust", "swift": "swift", "kt": "kotlin", "scala": "scala"}
 
 
 def human_size(n: Column) -> Column:
@@ -24,6 +25,15 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def size_text(n: float) -> str:
+    """The same for one number."""
+    for unit in ("B", "KB", "MB", "GB"):
+        if n < 1024:
+            return f"{n:.1f} {unit}"
+        n /= 1024
+    return f"{n:.1f} TB"
+
+
 def snippet(text: Column, limit: int = 20) -> Column:
     """Numbered lines, at most ``limit``, with a mark where some are left out."""
     lines = F.split(text, "\n")
@@ -45,15 +55,28 @@ def highlight(path: Column) -> Column:
     return out
 
 
-@F.udf(StringType())
-def unified_diff(a, b):
-    """For the few pairs of a report."""
-    return "\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm=""))
+def diff_text(a: str | None, b: str | None, before: str = "", after: str = "") -> str:
+    return "\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), before, after, lineterm=""))
+
 
+@F.pandas_udf(StringType())
+def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    """For the pairs of a report."""
+    return pd.Series([diff_text(x, y) for x, y in zip(a, b)])
 
-def side_by_side(a: str, b: str, width: int = 60) -> str:
+
+def side_by_side(a: str, b: str, width: int | None = None) -> str:
+    """Two texts line by line; the left column is as wide as its longest line, or as ``width`` if that is more."""
     x, y = a.split("\n"), b.split("\n")
-    return "\n".join(f"{(x[i] if i < len(x) else '')[:width]:<{width}} | {(y[i] if i < len(y) else '')[:width]}" for i in range(max(len(x), len(y))))
+    left = max([width or 0, *(len(s) for s in x)])
+    return "\n".join(f"{x[i] if i < len(x) else '':<{left}} | {y[i] if i < len(y) else ''}".rstrip() for i in range(max(len(x), len(y))))
+
+
+def contents(findings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Findings with the code of both blocks and their unified diff."""
+    own = lambda side, name: blocks.select(F.col("block_id").alias(side), F.col("raw_content").alias(name))
+    joined = findings.join(own("src", "src_code"), "src", "left").join(own("match", "match_code"), "match", "left")
+    return joined.withColumn("diff", unified_diff("src_code", "match_code"))
 
 
 def by_folder(findings: DataFrame) -> DataFrame:
@@ -61,18 +84,22 @@ def by_folder(findings: DataFrame) -> DataFrame:
     return findings.withColumn("folder", folder_of(F.col("file_path"))).orderBy("folder", F.desc("refactor_score"), "finding_id")
 
 
-def markdown_lines(findings: DataFrame, stages: dict[str, int]):
-    """The lines of the report, all findings one by one."""
+def markdown_lines(findings: DataFrame, stages: dict[str, int], coded: DataFrame | None = None):
+    """The lines of the report, all findings one by one; ``coded``: findings with code and diff, as ``contents`` gives them."""
     s = summary(findings).first()
     total = sum(stages.values())
     yield from ("# Duplicate report", "", f"{s['total']} findings, {s['high_priority']} of high priority", "", "| band | findings |", "|-|-|", f"| high | {s['high']} |", f"| medium | {s['medium']} |", f"| low | {s['low']} |", "")
     yield from ("| stage | ms | % |", "|-|-|-|", *(f"| {k} | {v} | {100 * v / total if total else 0:.1f} |" for k, v in sorted(stages.items())), "")
     folder = None
-    for r in by_folder(findings).toLocalIterator():
+    for r in by_folder(findings if coded is None else coded).toLocalIterator():
         if r["folder"] != folder:
             folder = r["folder"]
             yield from (f"## {folder}", "")
         yield f"- `{r['src']}` and `{r['match']}`: {r['type']}, score {r['refactor_score']:.1f}"
+        if coded is not None and r["src_code"]:
+            path = r["src"].rpartition(":")[0].rpartition(":")[0]
+            name = HIGHLIGHT.get(path.rpartition(".")[2].lower(), "text")
+            yield from ("", f"```{name}", *r["src_code"].split("\n"), "```", "", "```diff", *(r["diff"] or "").split("\n"), "```", "")
 
 
 def markdown(findings: DataFrame, stages: dict[str, int]) -> str:

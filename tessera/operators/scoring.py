@@ -15,23 +15,46 @@ def finding_id(src: Column, match: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", src.cast("string"), match.cast("string")).cast("binary"), 256), 1, 16)
 
 
-def findings(pairs: DataFrame, min_score: float = 200.0, limit: int = 5) -> DataFrame:
-    """Findings from verified pairs (src, match, tokens, similarity_confidence[, semantic_similarity])."""
+def generated(pairs: DataFrame) -> DataFrame:
+    """All findings of verified pairs (src, match, tokens, the four scores[, semantic_similarity]); ``d``, the verified
+    matches of the source, goes into the score."""
     semantic = F.col("semantic_similarity") if "semantic_similarity" in pairs.columns else F.lit(None).cast("double")
     rows = pairs.withColumn("d", F.count("*").over(Window.partitionBy("src")))
     rows = rows.withColumn("refactor_score", refactor_score(F.col("tokens"), F.col("d"))).withColumn("finding_id", finding_id(F.col("src"), F.col("match")))
-    rows = rows.withColumn("type", F.when(semantic.isNotNull(), "semantic").otherwise("near_miss")).withColumn("status", F.lit("active"))
+    return rows.withColumn("type", F.when(semantic.isNotNull(), "semantic").otherwise("near_miss")).withColumn("status", F.lit("active"))
+
+
+def ranked(rows: DataFrame, min_score: float = 200.0, limit: int = 5) -> DataFrame:
+    """Findings of at least ``min_score``, the ``limit`` best of each source."""
     best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("refactor_score"), F.desc("similarity_confidence"), "match"))
     return rows.where(F.col("refactor_score") >= min_score).withColumn("r", best).where(F.col("r") <= limit).drop("r", "d")
 
 
+def findings(pairs: DataFrame, min_score: float = 200.0, limit: int = 5) -> DataFrame:
+    return ranked(generated(pairs), min_score, limit)
+
+
+SCORES = ("overlap_score", "jaccard_score", "edit_density", "similarity_confidence", "semantic_similarity")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Findings as rows of the store: the scores that there are as a map."""
+    there = [c for c in SCORES if c in rows.columns]
+    scores = F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(c)) for c in there)))
+    return rows.select("finding_id", "src", "match", scores.alias("scores"), "type", F.col("similarity_confidence").alias("confidence"), "refactor_score", "status", F.current_timestamp().alias("created_at"))
+
+
 def quality_band(score: Column) -> Column:
     return F.when(score >= 500, "high").when(score >= 200, "medium").otherwise("low")
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value, of an even number the upper one; for groups of bounded size."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.count(values) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, upper_median): the middle value of each group, of an even number the upper one. Equal values are counted
+    before any group is gathered, so what a task sorts are a group's different values."""
+    w = Window.partitionBy(group)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    placed = counted.withColumn("before", F.sum("n").over(w.orderBy(value)) - F.col("n")).withColumn("middle", F.floor(F.sum("n").over(w) / 2))
+    return placed.where((F.col("before") <= F.col("middle")) & (F.col("middle") < F.col("before") + F.col("n"))).select(group, F.col(value).alias("upper_median"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

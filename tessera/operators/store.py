@@ -1,12 +1,15 @@
 """The store: tables of files, blocks, findings, metadata and signatures as Parquet snapshots.
 
 Each change is a new snapshot derived from the old one by joins, written beside it and then made current, so a reader
-sees the old or the new table, never a part, and a lost executor costs a recomputed task.
+sees the old or the new table, never a part, and a lost executor costs a recomputed task. The last ``KEPT`` snapshots stay,
+so a reader that holds an older one can end.
 """
 
 from __future__ import annotations
 
+import datetime
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ SCHEMAS = {
     "embeddings": "block_id string, embedding array<float>",
 }
 SCHEMA_VERSION = "1.0.0"
+KEPT = 3
 
 
 def block_id(path: Column, start: Column, end: Column) -> Column:
@@ -44,6 +48,39 @@ def upsert_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, merged, "block_id")
 
 
+def delete_blocks(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+    """``blocks`` without those of the files ``paths`` (path)."""
+    return blocks.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti").select(*blocks.columns)
+
+
+def replace_blocks(old: DataFrame, paths: DataFrame, new: DataFrame) -> DataFrame:
+    """As ``upsert_blocks``, for files that were read anew: blocks of ``paths`` that are not in ``new`` go."""
+    merged = upsert_blocks(old, new)
+    stale = old.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").join(new.select("block_id"), "block_id", "left_anti").select("block_id")
+    return merged.join(stale, "block_id", "left_anti").select(*merged.columns)
+
+
+def blocks_by_hash(blocks: DataFrame, norm_hash, lang=None) -> DataFrame:
+    """Blocks of one normalised hash, of one language if that is given."""
+    rows = blocks.where(F.col("norm_hash") == norm_hash)
+    return rows if lang is None else rows.where(F.col("lang") == lang)
+
+
+def blocks_by_file(blocks: DataFrame, path) -> DataFrame:
+    """Blocks of one file from its first line to its last."""
+    return blocks.where(F.col("file_path") == path).orderBy("start_line", "end_line")
+
+
+def finding_by_id(findings: DataFrame, finding) -> DataFrame:
+    return findings.where(F.col("finding_id") == finding)
+
+
+def with_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """Blocks with their file's hash, size and lines; null where the file is not stored."""
+    own = files.select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.col("size_bytes").alias("file_size"), F.col("lines").alias("file_lines"))
+    return blocks.join(own, "file_path", "left")
+
+
 def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """The tables without the files of ``gone`` (path), their blocks, and findings and signatures of those blocks."""
     out = dict(tables)
@@ -72,6 +109,11 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def initialize(self) -> None:
+        """Note the time of the first use."""
+        if self.get_metadata("initialized_at") is None:
+            self.set_metadata("initialized_at", datetime.datetime.now(datetime.timezone.utc).isoformat())
+
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
@@ -86,13 +128,13 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """Make ``rows`` the current snapshot; older ones go."""
+        """Make ``rows`` the current snapshot; all but the last ``KEPT`` go."""
         old = self._current(name)
         number = int(old.rpartition("/v")[2].split("-")[0]) + 1 if old else 0
         rows.write.parquet(f"{self.root}/{name}/v{number:09d}-{uuid.uuid4().hex[:8]}")
-        if old:
-            fs, p = self._fs(old)
-            fs.delete(p, True)
+        fs, p = self._fs(f"{self.root}/{name}")
+        for gone in sorted(s.getPath().getName() for s in fs.listStatus(p))[:-KEPT]:
+            fs.delete(self._fs(f"{self.root}/{name}/{gone}")[1], True)
 
     def upsert_files(self, rows: DataFrame) -> None:
         self.write("files", upsert(self.read("files"), latest(rows, "path", "last_indexed"), "path"))
@@ -100,6 +142,31 @@ class Store:
     def upsert_blocks(self, rows: DataFrame) -> None:
         self.write("blocks", upsert_blocks(self.read("blocks"), latest(rows, "block_id", "updated_at")))
 
+    def delete_blocks(self, paths: DataFrame) -> int:
+        """Delete the blocks of files; how many there were."""
+        old = self.read("blocks")
+        n = old.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").count()
+        self.write("blocks", delete_blocks(old, paths))
+        return n
+
+    def replace_blocks(self, paths: DataFrame, rows: DataFrame) -> None:
+        self.write("blocks", replace_blocks(self.read("blocks"), paths, latest(rows, "block_id", "updated_at")))
+
+    def save_vectors(self, rows: DataFrame, metric: str = "cosine") -> None:
+        """The vector table (block_id, embedding) with its dimension, metric and size as metadata."""
+        self.write("embeddings", rows.select("block_id", F.col("embedding").cast("array<float>").alias("embedding")))
+        sizes = self.read("embeddings").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+        for key, value in (("dimension", sizes["d"]), ("metric", metric), ("total", sizes["n"])):
+            self.set_metadata(f"vectors:{key}", str(value))
+
+    def load_vectors(self) -> DataFrame:
+        """The vector table; empty, with a warning, if its rows are not those that its metadata counts."""
+        rows, total = self.read("embeddings"), self.get_metadata("vectors:total")
+        if total is not None and rows.count() != int(total):
+            warnings.warn("the vector table does not match its metadata; it is taken as empty", stacklevel=2)
+            return rows.where("false")
+        return rows
+
     def upsert_findings(self, rows: DataFrame) -> None:
         self.write("findings", upsert(self.read("findings"), latest(rows, "finding_id", "created_at"), "finding_id"))
 
@@ -135,10 +202,15 @@ class Store:
             fs, p = self._fs(f"{self.root}/{name}")
             fs.delete(p, True)
 
+    def size_bytes(self) -> int:
+        fs, p = self._fs(self.root)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def statistics(self) -> dict:
         files, blocks, findings = self.read("files"), self.read("blocks"), self.read("findings")
         sizes = blocks.agg(F.count("*").alias("total_blocks"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avg_tokens"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total_tokens")).first().asDict()
         active = F.col("status") == "active"
         found = findings.agg(F.count_if(active).alias("active_findings"), F.count_if(F.col("status") == "suppressed").alias("suppressed_findings"), F.coalesce(F.avg(F.when(active, F.col("refactor_score"))), F.lit(0.0)).alias("avg_refactor_score")).first().asDict()
         by = lambda t, c: {r[c]: r["count"] for r in t.groupBy(c).count().collect()}  # noqa: E731  a row for each language or type
-        return {"total_files": files.count(), "files_by_language": by(files, "lang"), "blocks_by_language": by(blocks, "lang"), "findings_by_type": by(findings.where(active), "type"), "schema_version": SCHEMA_VERSION, **sizes, **found}
+        system = {"schema_version": SCHEMA_VERSION, "initialized_at": self.get_metadata("initialized_at"), "size_mb": self.size_bytes() / 1024 / 1024, "last_updated": datetime.datetime.now(datetime.timezone.utc).isoformat()}
+        return {"total_files": files.count(), "ignored_files": files.where("ignored").count(), "files_by_language": by(files, "lang"), "blocks_by_language": by(blocks, "lang"), "findings_by_type": by(findings.where(active), "type"), **system, **sizes, **found}

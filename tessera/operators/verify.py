@@ -50,13 +50,22 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-@F.pandas_udf(StructType([StructField("lcs", IntegerType()), StructField("ed", IntegerType())]))
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("lcs", "ed", "na", "nb", "both")]))
 def alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"lcs": [lcs_length(x, y) for x, y in zip(a, b)], "ed": [edit_distance(x, y) for x, y in zip(a, b)]})
+    """Alignment lengths and the sizes of the token sets and their intersection."""
+    rows = []
+    for x, y in zip(a, b):
+        u, v = set(x), set(y)
+        rows.append((lcs_length(x, y), edit_distance(x, y), len(u), len(v), len(u & v)))
+    return pd.DataFrame(rows, columns=["lcs", "ed", "na", "nb", "both"], dtype="int32")
+
+
+def jaccard_of(na: Column, nb: Column, both: Column) -> Column:
+    return F.when(na + nb == 0, 1.0).otherwise(F.try_divide(both.cast("double"), na + nb - both))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))))
+    return jaccard_of(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)), F.size(F.array_intersect(a, b)))
 
 
 def confidence(overlap: Column, jaccard: Column, density: Column) -> Column:
@@ -84,11 +93,14 @@ def verify(pairs: DataFrame, a: str = "a", b: str = "b", overlap_threshold: floa
         pairs = pairs.where((longest == 0) | (F.least(n, m) >= least_length_ratio(overlap_threshold) * longest))
     # Equal arrays need no alignment; the function is evaluated for all rows, so theirs are kept from it.
     own = lambda c: F.when(x != y, c).otherwise(F.slice(c, 1, 0))
-    rows = pairs.withColumn("__m", F.when(x == y, F.struct(n.alias("lcs"), F.lit(0).alias("ed"))).otherwise(alignment(own(x), own(y))))
+    types = F.size(F.array_distinct(x))
+    same = F.struct(n.alias("lcs"), F.lit(0).alias("ed"), types.alias("na"), types.alias("nb"), types.alias("both"))
+    rows = pairs.withColumn("__m", F.when(x == y, same).otherwise(alignment(own(x), own(y))))
     one_empty = (F.least(n, m) == 0) & (longest > 0)
     overlap = F.when(longest == 0, 1.0).otherwise(F.try_divide(F.col("__m.lcs").cast("double"), longest))
     density = F.when(longest == 0, 0.0).when(one_empty, 1.0).otherwise(F.try_divide(F.col("__m.ed").cast("double"), longest))
-    rows = rows.select("*", overlap.alias("overlap_score"), token_jaccard(x, y).alias("jaccard_score"), F.col("__m.ed").alias("edit_distance"), density.alias("edit_density"), F.col("__m.lcs").alias("lcs_length"), (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))).alias("token_diff_count"))
+    sizes = [F.col(f"__m.{c}") for c in ("na", "nb", "both")]
+    rows = rows.select("*", overlap.alias("overlap_score"), jaccard_of(*sizes).alias("jaccard_score"), F.col("__m.ed").alias("edit_distance"), density.alias("edit_density"), F.col("__m.lcs").alias("lcs_length"), (sizes[0] + sizes[1] - 2 * sizes[2]).alias("token_diff_count"))
     rows = rows.withColumn("similarity_confidence", confidence(F.col("overlap_score"), F.col("jaccard_score"), F.col("edit_density")))
     return rows.withColumn("is_duplicate", is_duplicate(F.col("overlap_score"), F.col("edit_density"), F.col("similarity_confidence"), overlap_threshold, density_threshold)).drop("__m")
 

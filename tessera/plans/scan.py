@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config
-from tessera.functions.tokens import normalize
+from tessera.functions.tokens import hash_signature, normalize
 from tessera.operators import minhash, scoring, store, vectors, verify
 from tessera.sources import blocks as B
 from tessera.sources import files as S
@@ -17,39 +18,73 @@ from tessera.sources import files as S
 @dataclass
 class ScanResult:
     blocks: DataFrame
+    normalized: DataFrame
     signatures: DataFrame
     candidates: DataFrame
     verified: DataFrame
+    pairs: DataFrame
+    generated: DataFrame
     findings: DataFrame
 
     def statistics(self) -> dict[str, int]:
-        return {"blocks": self.blocks.count(), "lsh_candidates": self.candidates.count(), "verified": self.verified.count(), "findings": self.findings.count()}
+        """The counters of a scan, all in one job: each stage counts its rows in a branch of one union."""
+        one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n")
+        stages = {"blocks_extracted": self.blocks, "blocks_indexed": self.signatures, "lsh_queries": self.signatures, "candidates_generated": self.candidates, "near_miss_verifications": self.verified, "findings_generated": self.generated, "findings": self.findings}
+        rows = None
+        for name, df in stages.items():
+            rows = one(df, name) if rows is None else rows.union(one(df, name))
+        if "file_path" in self.blocks.columns:
+            rows = rows.union(self.blocks.agg(F.count_distinct("file_path").alias("n")).select(F.lit("files_processed"), "n"))
+        out = {r["k"]: r["n"] for r in rows.collect()}
+        out["findings_filtered"] = out["findings_generated"] - out["findings"]
+        out["semantic_comparisons"] = out["near_miss_verifications"] if "semantic_similarity" in self.pairs.columns else 0
+        return out
 
 
-def load_blocks(spark: SparkSession, root: str, config: Config) -> DataFrame:
-    files = S.read_files(spark, root, S.ignore_rules(root, config.ignore_patterns))
+def load_blocks(spark: SparkSession, root: str, config: Config, paths: list[str] | None = None) -> DataFrame:
+    """The useful blocks of a tree, or of stated files of it."""
+    files = S.read_files(spark, root, S.ignore_rules(root, config.ignore_patterns)) if paths is None else S.index_files(spark, root, paths)[0]
     rows = B.useful(B.extract_blocks(files, config.supported_languages), config.min_tokens)
     return rows.withColumn("block_id", store.block_id(F.col("file_path"), F.col("start_line"), F.col("end_line")))
 
 
-def scan_blocks(blocks: DataFrame, config: Config, index: DataFrame | None = None, embeddings: DataFrame | None = None) -> ScanResult:
-    """``blocks``: block_id, lang, tokens. ``index``: normalized blocks of earlier scans, which changed blocks meet."""
-    normal = normalize(blocks.select("block_id", "lang", "tokens"))
-    sigs = minhash.signatures(normal, "block_id", F.col("normalized_tokens"), config.num_hashes, config.shingle_size)
-    found = minhash.candidates(sigs, sigs, "block_id", True, config.max_candidates, config.num_bands)
-    every = normal.select("block_id", "normalized_tokens")
+def verified_candidates(candidates: DataFrame, tokens: DataFrame, key: str, **thresholds) -> DataFrame:
+    """``candidates`` (src, match, ...) that can be duplicates, with the eight metrics. ``tokens``: (key, tokens). Blocks of
+    equal tokens are one text, and a pair of texts is aligned once, however many blocks have them."""
+    hashed = tokens.select(key, hash_signature(F.col("tokens")).alias("h"))
+    named = hashed.join(hashed.groupBy("h").agg(F.min(key).alias("text")), "h").select(key, "text")
+    pairs = candidates
+    for side, text in (("src", "x"), ("match", "y")):
+        pairs = pairs.join(named.select(F.col(key).alias(side), F.col("text").alias(text)), side)
+    own = lambda text, a: tokens.select(F.col(key).alias(text), F.col("tokens").alias(a))
+    texts = pairs.select("x", "y").distinct().join(own("x", "a"), "x").join(own("y", "b"), "y")
+    metrics = verify.verify(texts, prune=True, **thresholds).withColumn("tokens", F.size("a")).drop("a", "b")
+    return pairs.join(metrics, ["x", "y"]).drop("x", "y")
+
+
+def scan_blocks(blocks: DataFrame, config: Config, index: DataFrame | None = None, embeddings: DataFrame | None = None, signatures: DataFrame | None = None) -> ScanResult:
+    """``blocks``: block_id, lang, tokens. ``index``: (block_id, normalized_tokens) of earlier scans, which changed blocks
+    meet; ``signatures``: those of the index as stored, so that nothing of it is hashed again (what is not stored is)."""
+    normal = normalize(blocks.select("block_id", "lang", "tokens"), mappings=False)
+    of = lambda rows: minhash.signatures(rows, "block_id", F.col("normalized_tokens"), config.num_hashes, config.shingle_size)
+    sigs = of(normal)
+    shape = (config.max_candidates, config.num_bands, config.num_hashes)
+    found = minhash.member_candidates(sigs, "block_id", *shape)
+    every = normal.select("block_id", F.col("normalized_tokens").alias("tokens"))
     if index is not None:
         old = index.join(blocks.select("block_id"), "block_id", "left_anti").select("block_id", "normalized_tokens")
-        known = minhash.signatures(old, "block_id", F.col("normalized_tokens"), config.num_hashes, config.shingle_size)
-        found = found.union(minhash.candidates(sigs, known, "block_id", False, config.max_candidates, config.num_bands))
+        known = of(old)
+        if signatures is not None:
+            stored = signatures.where(F.size("signature") == config.num_hashes).join(old.select("block_id"), "block_id", "left_semi").select("block_id", "signature")
+            known = stored.union(of(old.join(stored.select("block_id"), "block_id", "left_anti")))
+        found = minhash.most_alike(found.union(minhash.index_candidates(sigs, known, "block_id", *shape)), config.max_candidates)
         every = every.union(old)
-    a = every.select(F.col("block_id").alias("src"), F.col("normalized_tokens").alias("a"))
-    b = every.select(F.col("block_id").alias("match"), F.col("normalized_tokens").alias("b"))
-    pairs = verify.verify(found.join(a, "src").join(b, "match"), overlap_threshold=config.overlap_threshold, density_threshold=config.edit_density_threshold, prune=True).where("is_duplicate")
+    verified = verified_candidates(found, every, "block_id", overlap_threshold=config.overlap_threshold, density_threshold=config.edit_density_threshold)
+    pairs = verified.where("is_duplicate")
     if embeddings is not None and config.tau_semantic > 0:
         pairs = vectors.rerank(pairs, embeddings, "block_id", "embedding", config.tau_semantic)
-    rows = pairs.withColumn("tokens", F.size("a")).drop("a", "b")
-    return ScanResult(blocks, sigs, found, pairs, scoring.findings(rows, config.min_refactor_score, config.max_matches_per_block))
+    generated = scoring.generated(pairs)
+    return ScanResult(blocks, normal, sigs, found, verified, pairs, generated, scoring.ranked(generated, config.min_refactor_score, config.max_matches_per_block))
 
 
 def scan_repository(spark: SparkSession, root: str, config: Config | None = None) -> ScanResult:
@@ -57,7 +92,37 @@ def scan_repository(spark: SparkSession, root: str, config: Config | None = None
     return scan_blocks(load_blocks(spark, root, config), config)
 
 
-def scan_changed(spark: SparkSession, root: str, changed: list[str], index: DataFrame, config: Config | None = None) -> ScanResult:
+def scan_changed(spark: SparkSession, root: str, changed: list[str], index: DataFrame, config: Config | None = None, signatures: DataFrame | None = None) -> ScanResult:
     config = config or Config()
-    paths = spark.createDataFrame([(p,) for p in changed], "file_path string")
-    return scan_blocks(load_blocks(spark, root, config).join(F.broadcast(paths), "file_path", "left_semi"), config, index)
+    return scan_blocks(load_blocks(spark, root, config, changed), config, index, signatures=signatures)
+
+
+def within_budget(spark: SparkSession, budget_ms: int, run, group: str = "tessera-scan"):
+    """(result of ``run()`` or None, milliseconds, warning). The jobs of ``run`` form a group that is cancelled at 95 % of the
+    budget; over 80 % there is a warning. 0 is no budget."""
+    import threading
+
+    began, late = time.time(), []
+    sc = spark.sparkContext
+
+    def stop() -> None:
+        late.append(True)
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(0.95 * budget_ms / 1000, stop) if budget_ms else None
+    sc.setJobGroup(group, "scan", interruptOnCancel=True)
+    try:
+        if timer:
+            timer.start()
+        out = run()
+    except Exception:
+        if not late:
+            raise
+        out = None
+    finally:
+        if timer:
+            timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    took = int(1000 * (time.time() - began))
+    warning = "the time budget ran out; the result is partial" if late else "over 80 % of the time budget was used" if budget_ms and took > 0.8 * budget_ms else None
+    return out, took, warning

@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 MIN_TOKENS, MAX_TOKENS = 40, 120
 SCHEMA = "file_path string, lang string, start_line int, end_line int, start_byte long, end_byte long, tokens array<string>, raw_content string, node_type string"
 LEX = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<num>\d[\w.]*)|(?P<id>[A-Za-z_$][\w$]*)|(?P<op>===|!==|\*\*|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\+\+|--|[-+*/%&|^]=|<<|>>|\.\.\.|.)""", re.S)
-DEFINES = {"function": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "enum": "enum_declaration", "namespace": "module_declaration"}
+LOOSE = re.compile(LEX.pattern.replace(r"//[^\n]*|/\*.*?(?:\*/|\Z)", r"\#[^\n]*"), re.S)
+# Kinds of blocks by the word that opens them.
+DEFINES = {"function": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "type": "type_alias_declaration"}
+#: Nesting beyond which a script's braces are not followed; what lies deeper belongs to the statement around it.
+DEEPEST = 200
 
 
 def _python_tokens(text: str) -> list[tuple[int, str]]:
@@ -29,41 +33,95 @@ def _python_tokens(text: str) -> list[tuple[int, str]]:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             if t.type not in skip and t.string.strip():
                 out.append((t.start[0], t.string))
-    except (tokenize.TokenError, IndentationError, SyntaxError):
-        pass
+    except (tokenize.TokenError, IndentationError, SyntaxError, RecursionError, MemoryError):
+        return _loose_tokens(text, LOOSE)
     return out
 
 
-def _script_tokens(text: str) -> list[tuple[int, str]]:
+def _loose_tokens(text: str, lex=LEX) -> list[tuple[int, str]]:
+    """Tokens by pattern alone, for scripts and for Python that the tokenizer refuses."""
     out, line = [], 1
-    for m in LEX.finditer(text):
+    for m in lex.finditer(text):
         if m.lastgroup != "skip":
             out.append((line, m.group()))
         line += m.group().count("\n")
     return out
 
 
+def _line_units(text: str):
+    """For Python that does not parse: every run of lines at the left margin or below it is a statement, and a ``def`` or
+    ``class`` at any depth is a definition as far as its indentation goes."""
+    lines = text.split("\n")
+    depth = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
+
+    def end_of(i: int) -> int:
+        last = i
+        for j in range(i + 1, len(lines)):
+            if depth[j] is None:
+                continue
+            if depth[j] <= depth[i]:
+                break
+            last = j
+        return last
+
+    out, i = [], 0
+    while i < len(lines):
+        if depth[i] is None:
+            i += 1
+            continue
+        last = end_of(i)
+        m = re.match(r"\s*(?:async\s+)?(def|class)\b", lines[i])
+        kind = {"def": "function_definition", "class": "class_definition"}[m[1]] if m else ""
+        out.append((i + 1, last + 1, kind, []))
+        i = last + 1
+    return out
+
+
 def _python_units(text: str):
     """(definitions outermost first as a tree, statements): each (first line, last line, kind, children)."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return []
-
-    def unit(node):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return _line_units(text)
+    kinds = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition", ast.ClassDef: "class_definition"}
+    roots: list[tuple] = []
+    stack = [(n, roots) for n in reversed(tree.body)]
+    while stack:
+        node, into = stack.pop()
         first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-        kind = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition", ast.ClassDef: "class_definition"}.get(type(node), "")
-        inner = [unit(c) for body in ("body", "orelse", "finalbody", "handlers") for c in getattr(node, body, []) or [] if isinstance(c, ast.stmt | ast.ExceptHandler)]
-        return first, node.end_lineno, kind, inner
-
-    return [unit(n) for n in tree.body]
+        inner: list[tuple] = []
+        into.append((first, node.end_lineno, kinds.get(type(node), ""), inner))
+        below = [c for body in ("body", "orelse", "finalbody", "handlers", "cases") for c in getattr(node, body, []) or [] if hasattr(c, "lineno")]
+        stack += [(c, inner) for c in reversed(below) if isinstance(c, ast.stmt | ast.ExceptHandler)]
+    return roots
+
+
+def _kind(words: list[str], tokens: list[str], body: bool) -> str:
+    """The kind of a script's statement, by its first words and its tokens before the body."""
+    if words[:1] == ["export"]:
+        return "export_statement"
+    lead = next((w for w in words if w not in ("default", "async", "abstract", "declare")), "")
+    if lead == "type":
+        return DEFINES["type"] if "=" in tokens else ""
+    if lead in DEFINES:
+        return DEFINES[lead]
+    if not body:
+        return ""
+    if "=>" in tokens:
+        return "arrow_function"
+    if "function" in tokens:
+        return "function_expression"
+    named = lead and re.match(r"[A-Za-z_$#]", lead) and lead not in ("if", "for", "while", "switch", "try", "do", "else", "return", "const", "let", "var", "import")
+    return "method_definition" if named and "(" in tokens else ""
 
 
 def _script_units(tokens: list[tuple[int, str]]):
-    """Statements end at ';' or a closing brace of their own depth; definitions are told by their first words."""
-
-    def read(i: int, end: int):
-        out = []
+    """Statements end at ';' or a closing brace of their own depth; definitions are told by their first words. An explicit
+    stack holds the bodies that wait, so deep nesting needs no recursion."""
+    roots: list[tuple] = []
+    waiting = [(0, len(tokens), roots, 0)]
+    while waiting:
+        i, end, into, level = waiting.pop()
         while i < end:
             start, depth, body = i, 0, None
             while i < end:
@@ -81,21 +139,18 @@ def _script_units(tokens: list[tuple[int, str]]):
                     i += 1
                     break
                 i += 1
-            words = [tokens[k][1] for k in range(start, min(start + 5, i))]
-            kind = next((DEFINES[w] for w in words if w in DEFINES), "arrow_function" if any(tokens[k][1] == "=>" for k in range(start, i)) and body else "")
-            if not kind and body is not None and words and re.match(r"[A-Za-z_$#]", words[0]) and words[0] not in ("if", "for", "while", "switch", "try", "do", "else", "return", "const", "let", "var", "export", "import") and "(" in [tokens[k][1] for k in range(start, body)]:
-                kind = "method_definition"
-            inner = read(body + 1, i - 1) if body is not None and body + 1 < i - 1 else []
-            out.append((tokens[start][0], tokens[i - 1][0], kind, inner))
-        return out
-
-    return read(0, len(tokens))
+            head = [tokens[k][1] for k in range(start, min(body + 1 if body is not None else i, start + 400))]
+            inner: list[tuple] = []
+            into.append((tokens[start][0], tokens[i - 1][0], _kind(head[:5], head, body is not None), inner))
+            if body is not None and body + 1 < i - 1 and level < DEEPEST:
+                waiting.append((body + 1, i - 1, inner, level + 1))
+    return roots
 
 
 def extract(path: str, lang: str, text: str, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> list[tuple]:
     """The blocks of one text, in the order of ``SCHEMA``."""
     text = text or ""
-    tokens = _python_tokens(text) if lang == "python" else _script_tokens(text)
+    tokens = _python_tokens(text) if lang == "python" else _loose_tokens(text)
     units = _python_units(text) if lang == "python" else _script_units(tokens)
     lines = text.split("\n")
     at = [0]
