@@ -99,6 +99,7 @@ def main(argv: list[str] | None = None) -> int:
             found = scan_changed(spark, args.path, S.git_changes(args.path, diff=True), normalized_index(store), config, store.read("signatures"))
         else:
             found = scan_repository(spark, args.path, config)
+        found.persist()
         kept = found.findings.withColumn("file_path", F.regexp_extract("src", "^(.*):[0-9]+:[0-9]+$", 1)).persist()
         return found, kept, kept.count(), found.statistics() if args.json or args.verbose else {}
 
@@ -124,6 +125,7 @@ def main(argv: list[str] | None = None) -> int:
     for r in scoring.top_findings(rows, limit=3).collect():
         say(f"{r['src']} ~ {r['match']}: {r['refactor_score']:.0f}")
     rows.unpersist()
+    result.unpersist()
     return 0
 
 

@@ -128,5 +128,5 @@ def messages(findings: DataFrame):
     n = 0
     for r in findings.toLocalIterator():
         n += 1
-        yield {"type": "finding", **r.asDict(recursive=True)}
+        yield {"type": "finding", "finding": r.asDict(recursive=True)}
     yield {"type": "complete" if n else "info", "total": n}

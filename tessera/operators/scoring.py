@@ -40,7 +40,7 @@ SCORES = ("overlap_score", "jaccard_score", "edit_density", "similarity_confiden
 def stored(rows: DataFrame) -> DataFrame:
     """Findings as rows of the store: the scores that there are as a map."""
     there = [c for c in SCORES if c in rows.columns]
-    scores = F.map_from_entries(F.array(*(F.struct(F.lit(c), F.col(c)) for c in there)))
+    scores = F.create_map(*(x for c in there for x in (F.lit(c), F.col(c).cast("double"))))
     return rows.select("finding_id", "src", "match", scores.alias("scores"), "type", F.col("similarity_confidence").alias("confidence"), "refactor_score", "status", F.current_timestamp().alias("created_at"))
 
 

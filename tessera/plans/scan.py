@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +28,26 @@ class ScanResult:
     generated: DataFrame
     findings: DataFrame
 
+    def shared(self) -> list[DataFrame]:
+        return [self.signatures, self.candidates, self.verified, self.generated]
+
+    def persist(self) -> "ScanResult":
+        """Keep what findings and counters have in common, on executors, to memory or disk; what is lost is made again."""
+        for df in self.shared():
+            df.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for df in self.shared():
+            df.unpersist()
+
     def statistics(self) -> dict[str, int]:
-        """The counters of a scan, all in one job: each stage counts its rows in a branch of one union."""
-        one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n")
-        stages = {"blocks_extracted": self.blocks, "blocks_indexed": self.signatures, "lsh_queries": self.signatures, "candidates_generated": self.candidates, "near_miss_verifications": self.verified, "findings_generated": self.generated, "findings": self.findings}
-        rows = None
-        for name, df in stages.items():
-            rows = one(df, name) if rows is None else rows.union(one(df, name))
+        """The counters of a scan, a count of each stage; after ``persist`` no stage is computed again."""
+        out = {"blocks_extracted": self.blocks.count(), "blocks_indexed": self.signatures.count()}
+        out |= {"lsh_queries": out["blocks_indexed"], "candidates_generated": self.candidates.count(), "near_miss_verifications": self.verified.count()}
+        out |= {"findings_generated": self.generated.count(), "findings": self.findings.count()}
         if "file_path" in self.blocks.columns:
-            rows = rows.union(self.blocks.agg(F.count_distinct("file_path").alias("n")).select(F.lit("files_processed"), "n"))
-        out = {r["k"]: r["n"] for r in rows.collect()}
+            out["files_processed"] = self.blocks.agg(F.count_distinct("file_path")).first()[0]
         out["findings_filtered"] = out["findings_generated"] - out["findings"]
         out["semantic_comparisons"] = out["near_miss_verifications"] if "semantic_similarity" in self.pairs.columns else 0
         return out
@@ -97,17 +109,15 @@ def scan_changed(spark: SparkSession, root: str, changed: list[str], index: Data
     return scan_blocks(load_blocks(spark, root, config, changed), config, index, signatures=signatures)
 
 
-def within_budget(spark: SparkSession, budget_ms: int, run, group: str = "tessera-scan"):
+def within_budget(spark: SparkSession, budget_ms: int, run):
     """(result of ``run()`` or None, milliseconds, warning). The jobs of ``run`` form a group that is cancelled at 95 % of the
     budget; over 80 % there is a warning. 0 is no budget."""
-    import threading
-
-    began, late = time.time(), []
+    began, late, group = time.time(), [], f"tessera-{uuid.uuid4().hex}"
     sc = spark.sparkContext
 
     def stop() -> None:
         late.append(True)
-        sc.cancelJobGroup(group)
+        sc._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
     timer = threading.Timer(0.95 * budget_ms / 1000, stop) if budget_ms else None
     sc.setJobGroup(group, "scan", interruptOnCancel=True)

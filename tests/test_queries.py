@@ -1,4 +1,4 @@
-"""Registered queries against their DuckDB SQL on the small tables (those that need no signatures)."""
+"""Registered queries against their DuckDB SQL on the small tables."""
 
 import decimal
 import os
@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents events embeddings pages benchmark labels".split()
-SLOW = {"near_duplicates", "minhash_signatures", "lsh_index_statistics", "incremental_candidates", "findings", "report_summary", "findings_by_folder", "top_findings", "finding_status"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -18,7 +17,7 @@ def plain(v):
     return float(v) if isinstance(v, decimal.Decimal) else v
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n not in SLOW and not n.startswith("op") and n != "pipeline"))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
