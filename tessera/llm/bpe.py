@@ -14,7 +14,6 @@ columns of the input are carried along unless their names are those of the resul
 
 from __future__ import annotations
 
-import hashlib
 import json
 from functools import lru_cache
 
@@ -23,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Workspace, binary_array, conf_partitions, ranges, row_chunks, text_buffers
-from tessera.llm.textsplit import ALPHABET, Encoder, join_back
+from tessera.llm.common import U64, Workspace, binary_array, conf_partitions, ranges, row_chunks, spare, text_buffers
+from tessera.llm.textsplit import ALPHABET, Encoder, character_tables, join_back
 
 BROADCAST_BYTES = 32 << 20
 #: Text bytes of one vectorised step.
@@ -34,8 +33,8 @@ SEEN_BOUND = 300_000
 
 
 @lru_cache(4)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, tables: tuple) -> Encoder:
+    return Encoder(path, tables=tables)
 
 
 def _texts(column: pa.Array):
@@ -48,9 +47,10 @@ def _texts(column: pa.Array):
 def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
     """(h, ids, n): a row for each distinct piece of the corpus, encoded once, and in how many tasks it stood.
     ``ids``: little-endian unsigned 32-bit."""
+    tables = character_tables(path)
 
     def pieces(batches):
-        enc, seen = _encoder(path), set()
+        enc, seen = _encoder(path, tables), set()
         for batch in batches:
             for _, texts in _texts(batch.column(0)):
                 hashes, starts, ends, joined, _, sid = enc.split(texts)
@@ -62,7 +62,7 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in new], U64).view(np.int64)), pa.array([joined[starts[i] : ends[i]] for _, i in new], pa.string()), pa.array([int(sid[i]) for _, i in new], pa.int64())], ["h", "piece", "special"])
 
     def encode(batches):
-        enc = _encoder(path)
+        enc = _encoder(path, tables)
         for batch in batches:
             ids = [s.to_bytes(4, "little") if s >= 0 else enc.piece_ids(p) for p, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(3)], ["h", "ids", "n"])
@@ -103,7 +103,7 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
 
     ``decoded``: a column for the ids decoded again, in the same pass over the ids. ``carry``: the columns of ``docs`` to
     return, all by default."""
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, character_tables(path)
     if words is None:
         words = Workspace(spark).save(word_table(docs, text, path), "words")
     keep = [c for c in (docs.columns if carry is None else carry) if c not in (out, decoded)]
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
     index = spark.sparkContext.broadcast(WordIndex.sorted_arrays(np.asarray(table.column("h")).astype(np.int64).view(U64), np.frombuffer(flat.tobytes(), np.uint32), np.diff(at) // 4))
 
     def run(batches):
-        enc, own = _encoder(path), WordIndex(*index.value)
+        enc, own = _encoder(path, tables), WordIndex(*index.value)
         for batch in batches:
             k = batch.schema.get_field_index(text)
             for i, texts in _texts(batch.column(k).cast(pa.string())):
@@ -144,11 +144,12 @@ def encode(docs: DataFrame, text: str, path: str, words: DataFrame | None = None
 
 def _encode_by_join(docs: DataFrame, text: str, path: str, words: DataFrame, out: str, schema) -> DataFrame:
     """The same for a word table of any size: a join on (document, distinct piece), salted against frequent pieces."""
-    ws, salts = Workspace(docs.sparkSession), 16
-    rows = ws.save(docs.withColumn("__row", F.expr("uuid()")), "rows")
+    ws, salts, tables = Workspace(docs.sparkSession), 16, character_tables(path)
+    key = spare(docs.columns, "row")
+    rows = ws.save(docs.withColumn(key, F.expr("uuid()")), "rows")
 
     def split(batches):
-        enc = _encoder(path)
+        enc = _encoder(path, tables)
         for batch in batches:
             for i, texts in _texts(batch.column(1)):
                 hashes, _, _, _, counts, _ = enc.split(texts)
@@ -157,21 +158,21 @@ def _encode_by_join(docs: DataFrame, text: str, path: str, words: DataFrame, out
                     distinct, inverse = np.unique(hashes[at : at + n], return_inverse=True)
                     cells.append((distinct.view(np.int64).tolist(), inverse.astype(np.uint32).tobytes()))
                     at += n
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([c[0] for c in cells], pa.list_(pa.int64())), pa.array([c[1] for c in cells], pa.binary())], ["__row", "hs", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([c[0] for c in cells], pa.list_(pa.int64())), pa.array([c[1] for c in cells], pa.binary())], [key, "hs", "at"])
 
-    cut = ws.save(rows.select("__row", F.col(text).cast("string")).mapInArrow(split, "__row string, hs array<long>, at binary"), "cut")
+    cut = ws.save(rows.select(key, F.col(text).cast("string")).mapInArrow(split, f"`{key}` string, hs array<long>, at binary"), "cut")
     salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = cut.select("__row", F.posexplode("hs").alias("k", "h")).withColumn("salt", F.pmod(F.hash("__row"), F.lit(salts))).join(salted, ["h", "salt"])
-    found = joined.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("cells"))
+    joined = cut.select(key, F.posexplode("hs").alias("k", "h")).withColumn("salt", F.pmod(F.hash(key), F.lit(salts))).join(salted, ["h", "salt"])
+    found = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("cells"))
 
     def put(batches):
         for batch in batches:
             cells, at = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             ids = [b"".join([c[j]["ids"] for j in np.frombuffer(a, np.uint32).tolist()]) if a else b"" for c, a in zip(cells, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["__row", out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, out])
 
-    ids = cut.select("__row", "at").join(found, "__row", "left").select("__row", "cells", "at").mapInArrow(put, f"__row string, `{out}` binary")
-    return rows.join(ids, "__row").select(*[f.name for f in schema])
+    ids = cut.select(key, "at").join(found, key, "left").select(key, "cells", "at").mapInArrow(put, f"`{key}` string, `{out}` binary")
+    return rows.join(ids, key).select(*[f.name for f in schema])
 
 
 @lru_cache(4)
@@ -209,10 +210,3 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     if "decoded" not in encoded.columns:
         encoded = decode(encoded.select("doc_id", "ids"), "ids", path)
     return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
-def sha256_hex(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
-
-
-__all__ = ["word_table", "encode", "decode", "digests", "vocabulary", "decode_ids", "conf_partitions"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace, binary_array, row_chunks, text_buffers
-from tessera.llm.textsplit import Encoder
+from tessera.llm.textsplit import Encoder, character_tables
 
 WINDOW = 2048
 END_ID = 1
@@ -34,16 +34,18 @@ STEP_BYTES, PIECES_KEPT = 1 << 21, 400_000
 
 
 @lru_cache(4)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path, PIECES_KEPT)
+def _encoder(path: str, tables: tuple) -> Encoder:
+    return Encoder(path, PIECES_KEPT, tables)
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(part, doc_id, before, n, ids): the ids of each text and the end id, and the tokens before it in its partition.
     ``ids``: little-endian unsigned 32-bit integers."""
 
+    tables = character_tables(path)
+
     def run(batches):
-        enc, part, before = _encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, before = _encoder(path, tables), TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             for i, j in row_chunks(offsets, STEP_BYTES):

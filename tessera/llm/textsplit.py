@@ -8,11 +8,11 @@ Two patterns are known, both published with their vocabularies:
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 from tessera.llm.common import U64, mix, prefix_hashes, ranges, span_hashes
 
@@ -20,24 +20,62 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 APOSTROPHE, BLANK = 39, 32
 
 
-@lru_cache(1)
-def char_classes() -> np.ndarray:
-    out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(m.group()[0]), ord(m.group()[-1])
-            out[a : b + 1] = kind
+@lru_cache(4)
+def character_tables(path: str) -> tuple[bytes, bytes, str]:
+    """(first code point of each run of one class, its class, odd characters), as the tokenizer itself sees characters: its
+    Unicode version is its own. Odd ones are those that Python's NFC or lower case treats in another way, alone or beside
+    marks; texts that hold one go through the library's normalizer. Made once, on the driver, and sent to the workers."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    every = "".join(map(chr, codes))
+    pieces = tok.pre_tokenizer.pre_tokenize_str
+    bounds = sorted({0, len(every), *(k for _, span in pieces(every) for k in span)})
+    # A blank joins the run behind it, and the last blank of several stands alone.
+    bounds = sorted({*bounds, *(k + d for k in [every.index(" ")] for d in (0, 1))})
+
+    def kind(c: str) -> int:
+        joined = lambda lead: any(span == (0, 1 + len(c)) for _, span in pieces(lead + c))
+        if joined("a"):
+            return LETTER
+        if joined("!"):
+            return OTHER
+        alone = [span for _, span in pieces("a" + c + "a") if span == (1, 1 + len(c))]
+        return NUMBER if alone and not c.isspace() else SPACE
+
+    starts = np.array([codes[k] for k in bounds[:-1]], np.int32)
+    kinds = np.array([kind(every[k]) for k in bounds[:-1]], np.uint8)
+    odd = []
+    if tok.normalizer is not None:
+        for probe in ("{}", "a{}\u0323", "a\u0301{}", "{}\u0301"):
+            for i in range(0, len(every), 1 << 16):
+                part = every[i : i + (1 << 16)]
+                text = "|".join(probe.format(c) for c in part if c != "|")
+                own, theirs = _normalised(text).split("|"), tok.normalizer.normalize_str(text).split("|")
+                odd += [c for c, x, y in zip((c for c in part if c != "|"), own, theirs) if x != y and not c.isspace()]
+    return starts.tobytes(), kinds.tobytes(), "".join(sorted(set(odd)))
+
+
+def _normalised(text: str) -> str:
+    # Lower-casing is by character: no final sigma.
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def class_array(starts: bytes, kinds: bytes) -> np.ndarray:
+    """The class of each code point; surrogates, which no text holds, are others."""
+    first, kind = np.frombuffer(starts, np.int32), np.frombuffer(kinds, np.uint8)
+    out = np.repeat(kind, np.diff(np.append(first, 0x110000)))
     out[0xD800:0xE000] = OTHER
     return out
 
 
-def piece_starts(cp: np.ndarray, first: np.ndarray, kind: str) -> np.ndarray:
+def piece_starts(cp: np.ndarray, first: np.ndarray, kind: str, classes: np.ndarray) -> np.ndarray:
     """True where a piece starts. ``first`` marks the first character of each separate text."""
     n = len(cp)
     if not n:
         return np.zeros(0, bool)
-    cls = char_classes()[cp]
+    cls = classes[cp]
     prev = np.empty(n, np.uint8)
     prev[0], prev[1:] = 255, cls[:-1]
     prev[first] = 255
@@ -73,7 +111,8 @@ def _model(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return Tokenizer.from_file(path).model, specials, "words" if spec["normalizer"] else "bytes"
+    tok = Tokenizer.from_file(path)
+    return tok.model, specials, "words" if spec["normalizer"] else "bytes", tok.normalizer
 
 
 def _byte_alphabet() -> list[str]:
@@ -92,17 +131,21 @@ class Encoder:
     ``bound``: distinct pieces that a worker remembers; beyond it the memory starts anew, results do not change.
     """
 
-    def __init__(self, path: str, bound: int = 200_000):
-        self.model, self.specials, self.kind = _model(path)
-        self.any_special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+    def __init__(self, path: str, bound: int = 200_000, tables: tuple[bytes, bytes, str] | None = None):
+        self.model, self.specials, self.kind, self.normalizer = _model(path)
+        starts, kinds, odd = tables or character_tables(path)
+        self.classes = class_array(starts, kinds)
+        self.any_odd = re.compile("[" + "".join(map(re.escape, odd)) + "]") if odd else None
+        self.any_special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.bound, self.known = bound, {}
         self.to_char = str.maketrans({b: c for b, c in enumerate(ALPHABET)})
 
     def normalise(self, text: str) -> str:
         if self.kind == "bytes":
             return text
-        # Lower-casing is by character: no final sigma.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.any_odd is not None and not text.isascii() and self.any_odd.search(text):
+            return self.normalizer.normalize_str(text)
+        return _normalised(text)
 
     def piece_ids(self, piece: str) -> bytes:
         """ids as little-endian unsigned 32-bit: a third of an array's memory for short pieces."""
@@ -130,7 +173,7 @@ class Encoder:
         first = np.zeros(len(cp), bool)
         offsets = np.cumsum(lengths) - lengths
         first[offsets[lengths > 0]] = True
-        start = piece_starts(cp, first, self.kind)
+        start = piece_starts(cp, first, self.kind, self.classes)
         mark = np.array(special, np.int64)
         for k in np.flatnonzero(mark >= 0):
             start[offsets[k] + 1 : offsets[k] + lengths[k]] = False
@@ -138,7 +181,7 @@ class Encoder:
         ends = np.append(starts[1:], len(cp)) if len(starts) else starts
         part = np.searchsorted(offsets, starts, "right") - 1 if len(starts) else starts
         if self.kind == "words" and len(starts):
-            keep = (char_classes()[cp[starts]] != SPACE) | (mark[part] >= 0)
+            keep = (self.classes[cp[starts]] != SPACE) | (mark[part] >= 0)
             starts, ends, part = starts[keep], ends[keep], part[keep]
         prefix = prefix_hashes(mix(cp.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(7)))
         hashes = span_hashes(prefix, starts, ends)
