@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Only a quote right after "=" opens a value; any other is a character like others, as in the standard.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+READ = frozenset("class id role aria-label style hidden aria-hidden itemprop".split())
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template xmp noembed noframes".split())
@@ -55,17 +57,25 @@ NAMED = [(k, re.compile(p, re.I)) for k, p in NAMES]
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption header footer nav aside form label button fieldset address span a #other".split()
 BAD = frozenset(k for k, _ in NAMES[1:])
 SPACE = re.compile(r"\s+")
+BOILER_TAGS = frozenset(("nav", "aside", "footer", "form", "button", "label", "fieldset"))
+#: Tags of which a node knows whether it lies within one.
+TOLD = BOILER_TAGS | {"article", "main", "header"}
+NOTHING: frozenset = frozenset()
+#: Blocks of running text: inline elements in them are text, whatever their names say.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "names", "own", "linked", "chars", "links", "stops", "inherited", "depth")
+    __slots__ = ("tag", "parent", "children", "parts", "names", "own", "linked", "chars", "links", "stops", "inherited", "within")
 
     def __init__(self, tag: str, parent, names: frozenset):
         self.tag, self.parent, self.names = tag, parent, names
         self.children, self.parts = [], []
         self.own = self.linked = self.chars = self.links = self.stops = 0
-        self.inherited = names if parent is None else names | parent.inherited
-        self.depth = 0 if parent is None else parent.depth + 1
+        above = NOTHING if parent is None else parent.inherited
+        self.inherited = above if names <= above else names | above
+        around = NOTHING if parent is None else parent.within
+        self.within = around | {tag} if tag in TOLD and tag not in around else around
 
 
 @lru_cache(4096)
@@ -73,8 +83,12 @@ def _names(attributes: str) -> frozenset:
     if not attributes:
         return frozenset()
     found = []
+    seen = set()
     for key, value in ATTRIBUTE.findall(attributes):
         key = key.lower()
+        if key not in READ or key in seen:
+            continue  # of repeated attributes the first counts
+        seen.add(key)
         if key == "hidden":
             found.append("hidden")
         elif key == "aria-hidden":
@@ -89,6 +103,7 @@ def parse(page: str) -> list[Node]:
     """The nodes of a page, parents first. A node's ``parts`` are its own strings and child nodes in page order."""
     root = Node("html", None, frozenset())
     nodes, stack, links, at, end = [root], [(root.tag, root)], 0, 0, len(page)
+    counts: dict[str, int] = {}
 
     def add(raw: str) -> None:
         nonlocal links
@@ -104,6 +119,8 @@ def parse(page: str) -> list[Node]:
     def pop_to(k: int) -> None:
         nonlocal links
         links -= sum(1 for t, _ in stack[k:] if t == "a")
+        for t, _ in stack[k:]:
+            counts[t] -= 1
         del stack[k:]
 
     while at < end:
@@ -119,7 +136,7 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if counts.get(tag) else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -159,7 +176,8 @@ def parse(page: str) -> list[Node]:
                     break
         names = _names(m[4]) if m[4] else frozenset()
         parent = stack[-1][1]
-        if tag in INLINE and not (names & BAD):
+        counts[tag] = counts.get(tag, 0) + 1
+        if tag in INLINE and (parent.tag in TEXTUAL or not (names & BAD)):
             stack.append((tag, parent))
         else:
             node = Node(tag, parent, names)
@@ -185,7 +203,6 @@ ABOVE_AT = OWN_AT + len(NAMES)
 REST_AT = ABOVE_AT + len(NAMES)
 NAME_NUMBER = {k: i for i, (k, _) in enumerate(NAMES)}
 N_FEATURES = REST_AT + 16
-BOILER_TAGS = frozenset(("nav", "aside", "footer", "form", "button", "label", "fieldset"))
 
 
 def describe(node: Node, total: int) -> list[tuple[int, float]]:
@@ -196,11 +213,7 @@ def describe(node: Node, total: int) -> list[tuple[int, float]]:
         out += [(ABOVE_AT + NAME_NUMBER[k], 1.0) for k in node.parent.inherited]
     chars = node.chars
     density = node.links / chars if chars else 0.0
-    tags = set()
-    up = node
-    while up is not None:
-        tags.add(up.tag)
-        up = up.parent
+    tags = node.within
     at = REST_AT
     out += [(at, 1.0), (at + 1, density), (at + 2, log1p(chars) / 6), (at + 3, min(3.0, 20 * node.stops / (chars + 20))), (at + 4, chars / (total + 1))]
     if density > 0.6:
@@ -468,4 +481,4 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
 
-__all__ = ["Model", "extract", "labelled_page", "main_text", "parse", "trained", "log"]
+__all__ = ["Model", "extract", "labelled_page", "main_text", "parse", "trained"]
