@@ -9,9 +9,9 @@ The queries are a stated set; they meet the approximations in blocks of at most
 block, not the query set. Equal vectors are one row with the ``k + 1`` smallest ids: ties go to smaller ids, so no more
 can be in a result, and a vector that a third of the rows share costs what one costs.
 
-Cases: vectors that are null, or hold null or non-finite components, or differ from the commonest length, take no part;
-scaled components or scores beyond 64 bits raise an error;
-queries with fewer than k others get all; repeated ids count as separate rows; an empty table gives an empty table.
+Cases: vectors that are null, or hold null or non-finite components, take no part; vectors meet those of their own length,
+and each length has its own file; scaled components or scores beyond 64 bits raise an error; queries with fewer than k
+others get all; repeated ids count as separate rows, as candidates and as queries; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -64,13 +64,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """The k best of ``vectors`` (vec_id, v) for each of ``queries`` (vec_id, v) but itself: (query_id, rank, vec_id, score)."""
+    out = vectors.sparkSession.createDataFrame([], OUT)
+    # A row for each length of a query.
+    for r in queries.where(F.size("v") > 0).groupBy(F.size("v").alias("w")).count().orderBy("w").collect():
+        own = lambda df, w=r["w"]: df.where(F.size("v") == w)
+        found = _search(own(vectors), own(queries), r["w"], k, block)
+        out = out.union(found)
+    return out
+
+
+def _search(vectors: DataFrame, queries: DataFrame, width: int, k: int, block: int) -> DataFrame:
     spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession)
     empty = spark.createDataFrame([], OUT)
-    widths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    if not widths or not widths[0]["w"]:
-        return empty
-    width = widths[0]["w"]
-    classes = distinct_vectors(vectors.where(F.size("v") == width), k).withColumn("class", F.xxhash64("v", F.col("ids")[0]))
+    classes = distinct_vectors(vectors, k).withColumn("class", F.xxhash64("v", F.col("ids")[0]))
     classes = ws.save(classes, "exact")
 
     def extremes(batches):
@@ -80,7 +86,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
                 yield pa.RecordBatch.from_arrays([pa.array([x.min(0).tolist()], pa.list_(pa.int64())), pa.array([x.max(0).tolist()], pa.list_(pa.int64()))], ["low", "high"])
 
     by_place = [F.min(F.col("low")[d]) for d in range(width)] + [F.max(F.col("high")[d]) for d in range(width)]
-    marks = np.array(list(classes.select("v").mapInArrow(extremes, "low array<long>, high array<long>").agg(*by_place).first()))
+    marks = list(classes.select("v").mapInArrow(extremes, "low array<long>, high array<long>").agg(*by_place).first())
+    if marks[0] is None:
+        return empty
+    marks = np.array(marks)
     grid = Grid(marks[:width], marks[width:])
     # The greatest corner of a cell may lie a whole step beyond the range.
     reach = max(max(abs(int(lo)), abs(int(lo) + CELLS * int(st))) for lo, st in zip(grid.low, grid.step))
@@ -91,7 +100,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOC
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in codes], pa.binary())], ["class", "n_ids", "cells"])
 
     cells = ws.save(classes.select("class", "v", F.size("ids").alias("n_ids")).mapInArrow(approximate, "class long, n_ids int, cells binary"), "cells")
-    asked = ws.save(queries.where(F.size("v") == width), "queries")
+    asked = ws.save(queries.select("vec_id", "v"), "queries")
     n_blocks = max(1, -(-asked.count() // block))
     parts = []
     for i in range(n_blocks):
@@ -119,7 +128,7 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
 
     def scan(batches):
         """Candidates of this part of the file: those whose upper bound reaches the k-th lower bound found here."""
-        qid, q = sent.value
+        _, q = sent.value
         up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
@@ -130,31 +139,32 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
                 least, most = least - slack, most + slack
                 kth = _kth(least, k)
                 qs, xs = np.nonzero(most >= kth[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qid[qs]), pa.array(np.asarray(part.column(0))[xs]), pa.array(least[qs, xs].astype(np.int64)), pa.array(most[qs, xs].astype(np.int64)), pa.array(np.asarray(part.column(1))[xs])], ["query_id", "class", "least", "most", "n_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(np.asarray(part.column(0))[xs]), pa.array(least[qs, xs].astype(np.int64)), pa.array(most[qs, xs].astype(np.int64)), pa.array(np.asarray(part.column(1))[xs])], ["query", "class", "least", "most", "n_ids"])
 
-    found = ws.save(cells.mapInArrow(scan, "query_id long, class long, least long, most long, n_ids int"), f"bounds{number}")
+    found = ws.save(cells.mapInArrow(scan, "query long, class long, least long, most long, n_ids int"), f"bounds{number}")
     # Lower bounds of all parts together. One of the k + 1 best may be the query itself, so the (k + 1)-th counts.
-    w = Window.partitionBy("query_id").orderBy(F.desc("least"), "class")
+    w = Window.partitionBy("query").orderBy(F.desc("least"), "class")
     ahead = found.withColumn("sum", F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kth = ahead.where(F.col("sum") >= k + 1).groupBy("query_id").agg(F.max("least").alias("kth"))
-    left = found.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
+    kth = ahead.where(F.col("sum") >= k + 1).groupBy("query").agg(F.max("least").alias("kth"))
+    left = found.join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
 
     def exact(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Read exact vectors in the order of their upper bounds until no bound left exceeds the k-th score."""
-        qid, q = sent.value
+        ids, q = sent.value
         best, pdf = [], pdf.sort_values("most", ascending=False)
-        own = q[np.flatnonzero(qid == keys[0])[0]]
+        me, own = int(ids[keys[0]]), q[keys[0]]
         for most, v, members in zip(pdf["most"], pdf["v"], pdf["ids"]):
             if len(best) >= k and most < best[k - 1][0]:
                 break
-            score = int(np.dot(own, np.asarray(v)))
+            v = np.asarray(v)
+            score = int(np.dot(own, v))
             mine = list(members)
-            if keys[0] in mine:
-                mine.remove(keys[0])
+            if me in mine and np.array_equal(v, own):
+                mine.remove(me)
             best = sorted(best + [(score, int(m)) for m in mine], key=lambda x: (-x[0], x[1]))[:k]
-        return pd.DataFrame({"query_id": [keys[0]] * len(best), "rank": range(1, len(best) + 1), "vec_id": [m for _, m in best], "score": [s for s, _ in best]})
+        return pd.DataFrame({"query_id": [me] * len(best), "rank": range(1, len(best) + 1), "vec_id": [m for _, m in best], "score": [s for s, _ in best]})
 
-    return left.select("query_id", "class", "most").join(classes, "class").select("query_id", "most", "v", "ids").groupBy("query_id").applyInPandas(exact, OUT)
+    return left.select("query", "class", "most").join(classes, "class").select("query", "most", "v", "ids").groupBy("query").applyInPandas(exact, OUT)
 
 
 def _kth(least: np.ndarray, k: int) -> np.ndarray:
