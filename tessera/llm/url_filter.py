@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import spare
+
 SALTS = 16
 RESULT = ("host", "matched_host", "category", "active_since", "blocked")
 
@@ -44,6 +46,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched") -> DataFrame:
     """``captures`` with host, matched_host, category, active_since and blocked."""
     keep = [c for c in captures.columns if c not in RESULT]
+    # Inner columns that stand beside the caller's have names that no column has.
+    when, met = spare([*keep, *RESULT], "moment"), spare([*keep, *RESULT], "met")
     rows = captures.select(*keep, host_of(F.col(url)).alias("host"))
     # One row for each distinct (host, moment): captures of a hot host collapse before they meet the list.
     asked = rows.select("host", F.col(at).alias("moment")).distinct()
@@ -51,6 +55,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     salted = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     active = (F.col("since") <= F.col("moment")) & (F.col("until").isNull() | (F.col("moment") < F.col("until")))
     hits = keys.join(salted, ["rule_host", "salt"]).where(active)
-    best = hits.groupBy("host", "moment").agg(F.max(F.struct(F.length("rule_host").alias("n"), "rule_host", "category", "since")).alias("m"))
-    judged = rows.withColumn("moment", F.col(at)).join(best.hint("merge"), ["host", "moment"], "left")
-    return judged.select(*keep, "host", F.col("m.rule_host").alias("matched_host"), F.col("m.category").alias("category"), F.col("m.since").alias("active_since"), F.col("m").isNotNull().alias("blocked"))
+    # Entries of one host and moment are one row already, so no two of a host are active at once.
+    best = hits.groupBy("host", "moment").agg(F.max(F.struct(F.length("rule_host").alias("n"), "rule_host", "category", "since")).alias(met)).withColumnRenamed("moment", when)
+    judged = rows.withColumn(when, F.col(at)).join(best.hint("merge"), ["host", when], "left")
+    found = F.col(met)
+    return judged.select(*keep, "host", found["rule_host"].alias("matched_host"), found["category"].alias("category"), found["since"].alias("active_since"), found.isNotNull().alias("blocked"))
