@@ -173,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
                 rows = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary()), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i)], ["x", "y", "doc_id"])
 
-    # At most ``sample`` ids: a bounded broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id").mapInArrow(run, "x binary, y int, doc_id long").toArrow().sort_by([("doc_id", "ascending")])
-    x = [np.frombuffer(v, np.int32) for v in rows.column("x").to_pylist()][: 2 * sample]
-    return fit(x, np.array(rows.column("y").to_pylist()[: 2 * sample]))
+    # At most ``sample`` ids: a bounded broadcast. Of rows with one id one counts, chosen before any reaches the driver.
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id").mapInArrow(run, "x binary, y int, doc_id long")
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow().sort_by([("doc_id", "ascending")])
+    return fit([np.frombuffer(v, np.int32) for v in rows.column("x").to_pylist()], np.array(rows.column("y").to_pylist()))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
