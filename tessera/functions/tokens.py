@@ -69,8 +69,9 @@ def role(token: Column, lang: Column) -> Column:
 
 
 def positions(blocks: DataFrame, key: str, toks: str, lang: str) -> DataFrame:
-    """(key, pos, token, role, norm): every occurrence of an identifier takes the next number of its role in its block."""
-    rows = blocks.select(key, F.col(lang).alias("__lang"), F.posexplode(toks).alias("pos", "token")).withColumn("role", role(F.col("token"), F.col("__lang")))
+    """(key, pos, token, role, norm): every occurrence of an identifier takes the next number of its role in its block.
+    Blocks are dealt by their key before they are taken apart, so no window or group below moves single tokens."""
+    rows = blocks.repartition(F.col(key)).select(key, F.col(lang).alias("__lang"), F.posexplode(toks).alias("pos", "token")).withColumn("role", role(F.col("token"), F.col("__lang")))
     number = F.row_number().over(Window.partitionBy(key, "role").orderBy("pos"))
     norm = F.when(F.col("role").isNull(), F.col("token")).when(F.col("role").isin("STR", "NUM", "BOOL"), F.concat("role", F.lit("_LIT"))).otherwise(F.concat("role", F.lit("_"), number.cast("string")))
     return rows.withColumn("norm", norm).drop("__lang")

@@ -1,7 +1,6 @@
 """MinHash signatures, banding and candidate pairs.
 
-Shingles are exploded before they are hashed, so the split is done once, and the minima are partial aggregates: a task
-sends one row of ``num_hashes`` numbers for a block, however long the block is. Blocks with equal signatures form a class
+A signature needs its own block only, so signatures are made where the block stands, without a shuffle. Blocks with equal signatures form a class
 and meet other classes through its smallest id; ``member_candidates`` then gives every member the pairs it has itself.
 """
 
@@ -9,6 +8,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +27,33 @@ def base_hash(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
 
 
+#: Shingles that one vectorised step hashes.
+STEP = 1 << 18
+
+
 def signatures(blocks: DataFrame, key: str, toks: Column, num_hashes: int = 128, k: int = 5) -> DataFrame:
-    """(key, signature): the least value of each hash function over the block's shingles."""
-    rows = blocks.select(key, F.explode(shingles(toks, k)).alias("s")).select(key, base_hash(F.col("s")).alias("h"))
-    least = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(num_hashes))]
-    return rows.groupBy(key).agg(*least).select(key, F.array(*(f"m{i}" for i in range(num_hashes))).alias("signature"))
+    """(key, signature): the least value of each hash function over the block's shingles. Shingles are made and hashed in
+    the JVM; the minima are taken in Arrow batches, block by block, so nothing is shuffled."""
+    hashes = F.transform(F.array(shingles(toks, k)), lambda s: F.transform(s, base_hash))[0]
+    rows = blocks.select(key, hashes.alias("h"))
+    fixed = np.array(coefficients(num_hashes), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            ends = np.asarray(column.offsets).astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, "right")) - 1)
+                h, starts = np.asarray(column.values[ends[at] : ends[to]]), ends[at:to] - ends[at]
+                out = np.empty((to - at, num_hashes), np.int64)
+                for i, (x, y) in enumerate(fixed):
+                    out[:, i] = np.minimum.reduceat((x * h + y) % PRIME, starts)
+                lists = pa.ListArray.from_arrays(np.arange(to - at + 1, dtype=np.int32) * num_hashes, pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], [key, "signature"])
+                at = to
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, signature array<bigint>")
 
 
 def classes(sigs: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tokens as K
 from tessera.operators import minhash, report, scoring, store, vectors, verify
+from tessera.operators.tables import settled
 from tessera.plans import scan
 from tessera.sources import files
 from tessera.streaming import events as E
@@ -68,7 +69,7 @@ def document_signatures(spark, sf_dir) -> DataFrame:
 
 
 def member_candidates(spark, sf_dir) -> DataFrame:
-    return minhash.member_candidates(document_signatures(spark, sf_dir), "doc_id")
+    return minhash.member_candidates(settled(document_signatures(spark, sf_dir)), "doc_id")
 
 
 @query(CANDIDATES + " SELECT src, match, round(similarity, 6) AS similarity FROM cand")
@@ -108,7 +109,7 @@ def incremental_candidates(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id")
     edited = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi").select((-1 - F.col("doc_id")).alias("doc_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "^[^ ]* ", "").alias("text"))
     new = minhash.signatures(edited, "doc_id", K.words(F.col("text")))
-    found = minhash.index_candidates(new, document_signatures(spark, sf_dir), "doc_id")
+    found = minhash.index_candidates(settled(new), settled(document_signatures(spark, sf_dir)), "doc_id")
     return found.select("src", "match", F.round("similarity", 6).alias("similarity"))
 
 

@@ -1,4 +1,4 @@
-"""The scan: blocks to findings as one lazy plan, over a whole repository or over changes against an index."""
+"""The scan: blocks to findings, signatures settled once and the rest one lazy plan, over a whole repository or over changes against an index."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.tokens import hash_signature, normalize
 from tessera.operators import minhash, scoring, store, vectors, verify
+from tessera.operators.tables import settled
 from tessera.sources import blocks as B
 from tessera.sources import files as S
 
@@ -79,17 +80,17 @@ def scan_blocks(blocks: DataFrame, config: Config, index: DataFrame | None = Non
     meet; ``signatures``: those of the index as stored, so that nothing of it is hashed again (what is not stored is)."""
     normal = normalize(blocks.select("block_id", "lang", "tokens"), mappings=False)
     of = lambda rows: minhash.signatures(rows, "block_id", F.col("normalized_tokens"), config.num_hashes, config.shingle_size)
-    sigs = of(normal)
+    sigs = settled(of(normal))
     shape = (config.max_candidates, config.num_bands, config.num_hashes)
     found = minhash.member_candidates(sigs, "block_id", *shape)
     every = normal.select("block_id", F.col("normalized_tokens").alias("tokens"))
     if index is not None:
         old = index.join(blocks.select("block_id"), "block_id", "left_anti").select("block_id", "normalized_tokens")
-        known = of(old)
+        known = of(old) if signatures is None else None
         if signatures is not None:
             stored = signatures.where(F.size("signature") == config.num_hashes).join(old.select("block_id"), "block_id", "left_semi").select("block_id", "signature")
             known = stored.union(of(old.join(stored.select("block_id"), "block_id", "left_anti")))
-        found = minhash.most_alike(found.union(minhash.index_candidates(sigs, known, "block_id", *shape)), config.max_candidates)
+        found = minhash.most_alike(found.union(minhash.index_candidates(sigs, settled(known), "block_id", *shape)), config.max_candidates)
         every = every.union(old)
     verified = verified_candidates(found, every, "block_id", overlap_threshold=config.overlap_threshold, density_threshold=config.edit_density_threshold)
     pairs = verified.where("is_duplicate")
