@@ -167,11 +167,11 @@ def _unpack(payload: bytes) -> pa.Table:
 
 
 def _deal(keys: np.ndarray, buckets: int):
-    """(bucket, members in order) for each bucket."""
+    """(bucket, members in order) for each bucket that has some."""
     own = (keys % U64(buckets)).astype(np.int64)
     order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(buckets + 1))
-    return [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
+    there, first = np.unique(own[order], return_index=True)
+    return list(zip(there.tolist(), np.split(order, first[1:])))
 
 
 def _rows(found: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
