@@ -40,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--tau-sem", type=float)
     scan.add_argument("--exclude", action="append", default=[])
     sub.add_parser("status")
+    serve = sub.add_parser("serve", help="answer JSON-RPC requests, a line each")
+    serve.add_argument("--root")
     return p
 
 
@@ -83,6 +85,11 @@ def main(argv: list[str] | None = None) -> int:
         for k, v in store.statistics().items():
             say(f"{k}: {report.size_text(v * 1024 * 1024) if k == 'size_mb' else v}")
         return 0
+    if args.command == "serve":
+        from tessera.server import Service
+
+        Service(spark, store.root, config, args.root).serve()
+        return 0
     if args.command == "index":
         for path in args.paths:
             done = index_tree(store, path, config, args.reindex)

@@ -1,5 +1,6 @@
 """Reference operators: hand-computed values and plain versions."""
 
+import io
 import json
 import math
 import random
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera import cli
+from tessera import cli, server
 from tessera.config import Config
 from tessera.functions import tokens as K
 from tessera.operators import minhash, report, scoring, store, vectors, verify
@@ -316,6 +317,32 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["--cache-dir", cache, "-q", "scan", str(tree), "--budget-ms", "1", "--json", str(out / "n.json")]) == 2
 
 
+def test_json_rpc(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    for name in "ab":
+        (tree / f"{name}.py").write_text(code(name))
+    service = server.Service(spark, str(tmp_path / "cache"))
+    out = io.StringIO()
+    ask = lambda method, **params: list(service.answers(json.dumps({"id": 7, "method": method, "params": params})))
+    assert ask("scan_repo")[0]["error"]["code"] == -32603, "nothing is indexed yet"
+    assert ask("index_repo", root=str(tree))[0]["result"]["stats"]["blocks_indexed"] == 2
+    found = ask("scan_repo", options={"tau_semantic": 0})[0]["result"]
+    assert [(f["unit"]["path"], f["matches"][0]["path"]) for f in found] == [("b.py", "a.py")] and ask("scan_repo", scope="semantic_only")[0]["result"] == []
+    told = ask("explain", finding_id=found[0]["id"])[0]["result"]
+    assert [c["path"] for c in told["codeframes"]] == ["b.py", "a.py"] and "def b(values)" in told["codeframes"][0]["code"] and told["scores"]["overlap_score"] == 1.0
+    assert ask("index_status")[0]["result"]["passes"] == {"0": "100%", "1": "50%", "2": "0%"} and not ask("index_status")[0]["result"]["dirty"]
+    (tree / "c.py").write_text(code("c"))
+    streamed = [a["result"]["type"] for a in ask("scan_changed", paths=["c.py"])]
+    assert streamed == ["progress", "finding", "finding", "complete", "stream_complete"] and ask("index_status")[0]["result"]["dirty"]
+    assert ask("configure", policy_json={"min_tokens": 9, "num_hashes": 1})[0]["result"] == {"ok": True} and (service.config.min_tokens, service.config.num_hashes) == (9, 128)
+    assert ask("explain", finding_id="none")[0]["error"]["code"] == -32603 and ask("nothing")[0]["error"]["code"] == -32601
+    assert ask("clear_index")[0]["result"] == {"ok": True} and service.store.read("blocks").count() == 0
+    service.serve(["not json\n", "\n", '{"id": 1, "method": "configure", "params": {"policy_json": {}}}\n'], out)
+    first, second = map(json.loads, out.getvalue().splitlines())
+    assert first["error"]["code"] == -32700 and second == {"jsonrpc": "2.0", "id": 1, "result": {"ok": True}}
+
+
 def test_git_changes(tmp_path):
     import subprocess
 
