@@ -147,6 +147,8 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
     ahead = found.withColumn("sum", F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kth = ahead.where(F.col("sum") >= k + 1).groupBy("query").agg(F.max("least").alias("kth"))
     left = found.join(kth, "query", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth")))
+    order = Window.partitionBy("query").orderBy(F.desc("most"), "class")
+    left = ws.save(left.select("query", "class", "most", F.row_number().over(order).alias("place")), f"left{number}")
 
     def exact(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Read exact vectors in the order of their upper bounds until no bound left exceeds the k-th score."""
@@ -162,9 +164,18 @@ def _block(classes: DataFrame, cells: DataFrame, grid: Grid, ids: np.ndarray, v:
             if me in mine and np.array_equal(v, own):
                 mine.remove(me)
             best = sorted(best + [(score, int(m)) for m in mine], key=lambda x: (-x[0], x[1]))[:k]
-        return pd.DataFrame({"query_id": [me] * len(best), "rank": range(1, len(best) + 1), "vec_id": [m for _, m in best], "score": [s for s, _ in best]})
-
-    return left.select("query", "class", "most").join(classes, "class").select("query", "most", "v", "ids").groupBy("query").applyInPandas(exact, OUT)
+        return pd.DataFrame({"query": [keys[0]] * len(best), "query_id": [me] * len(best), "vec_id": [m for _, m in best], "score": [s for s, _ in best]})
+
+    def read(wanted: DataFrame) -> DataFrame:
+        return wanted.select("query", "class", "most").join(classes, "class").select("query", "most", "v", "ids").groupBy("query").applyInPandas(exact, "query long, query_id long, vec_id long, score long")
+
+    # The vectors of the highest bounds are read first; of the others only those whose bound reaches the k-th score then.
+    first = ws.save(read(left.where(F.col("place") <= 2 * (k + 1))), f"first{number}")
+    least = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).drop("n")
+    rest = left.where(F.col("place") > 2 * (k + 1)).join(least, "query", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least")))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = first.union(read(rest)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _kth(least: np.ndarray, k: int) -> np.ndarray:
