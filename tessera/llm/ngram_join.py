@@ -339,11 +339,15 @@ def bounded(postings: DataFrame) -> DataFrame:
     return postings.withColumn("most", F.col("n") - F.col("pos") + earlier).withColumn("open", F.count("*").over(own))
 
 
-def meeting(open_: DataFrame, percent: int) -> DataFrame:
+def met_sides(open_: DataFrame) -> DataFrame:
+    """(g, comp, m, o, l, h): of a component's members with a posting, the greatest bounds and the sizes."""
+    return bounded(open_).groupBy("g", "comp").agg(F.max("most").alias("m"), F.max("open").alias("o"), F.min("n").alias("l"), F.max("n").alias("h"))
+
+
+def meeting(sides: DataFrame, percent: int) -> DataFrame:
     """(x, y): components that may hold a link between them. Of the members that share a posting the greatest bounds count,
     so what no pair of components reaches, no pair of their members does. A link's overlap lies in the postings of both
     sets, or behind those of the one whose end first."""
-    sides = bounded(open_).groupBy("g", "comp").agg(F.max("most").alias("m"), F.max("open").alias("o"), F.min("n").alias("l"), F.max("n").alias("h"))
     a, b = (sides.select("g", *(F.col(x).alias(x + k) for x in ("comp", "m", "o", "l", "h"))) for k in "ab")
     rest = F.greatest(behind("ha", percent), behind("hb", percent))
     least = percent * (F.col("la") + F.col("lb"))
@@ -453,24 +457,26 @@ def component_seats(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 # Components ------------------------------------------------------------------------------------------------------------
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars around their smallest nodes: then both stars leave them as they are."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf")))).alias("e")).select("e.x", "e.leaf")
+    return not ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("n")).where("leaf > 0 and n > 1").agg(F.count("*")).first()[0]
+
+
 def connected(ws: Workspace, edges: DataFrame, name: str = "stars", rounds: int = 60) -> DataFrame:
     """(c, comp) for the nodes of ``edges`` (a, b); comp is the smallest node. Alternating large and small stars."""
-    mark = F.xxhash64("u", "v").cast("decimal(38,0)")
     edges = ws.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}_")
-    state = None
     for k in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Every node now sees smaller nodes only; the small star needs no more than its edges once each.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         edges = ws.save(small.where("u <> v").distinct(), f"{name}{k}")
         ws.drop(f"{name}{k - 1}" if k else f"{name}_")
-        now = edges.agg(F.count("*"), F.sum(mark)).first()
-        if now == state:
+        if settled(edges):
             return edges.select(F.col("u").alias("c"), F.col("v").alias("comp"))
-        state = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -490,7 +496,9 @@ def _linked(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
     open_ = ws.save(labelled.join(mixed, "g", "left_semi"), "open")
     ws.drop("postings")
     members = open_.select("comp", "c", "n").distinct()
-    met = ws.save(meeting(open_, percent), "meeting")
+    sides = ws.save(met_sides(open_), "sides")
+    met = ws.save(meeting(sides, percent), "meeting")
+    ws.drop("sides")
     links = verified(ws, component_seats(met, members), sets, cuts, percent, "last")
     named = lambda x: first.select(F.col("c").alias(x), F.col("comp").alias(f"c{x}"))
     joined = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace, binary_array, row_chunks, text_buffers
-from tessera.llm.textsplit import Encoder, character_tables
+from tessera.llm.textsplit import Encoder, tables_from_task
 
 WINDOW = 2048
 END_ID = 1
@@ -42,7 +42,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(part, doc_id, before, n, ids): the ids of each text and the end id, and the tokens before it in its partition.
     ``ids``: little-endian unsigned 32-bit integers."""
 
-    tables = character_tables(path)
+    tables = tables_from_task(docs.sparkSession, path)
 
     def run(batches):
         enc, part, before = _encoder(path, tables), TaskContext.get().partitionId(), 0

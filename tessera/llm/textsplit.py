@@ -13,8 +13,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-from tessera.llm.common import U64, mix, prefix_hashes, ranges, span_hashes
+from tessera.llm.common import U64, mix, prefix_hashes, ranges, span_hashes, trim
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 APOSTROPHE, BLANK = 39, 32
@@ -24,7 +26,7 @@ APOSTROPHE, BLANK = 39, 32
 def character_tables(path: str) -> tuple[bytes, bytes, str]:
     """(first code point of each run of one class, its class, odd characters), as the tokenizer itself sees characters: its
     Unicode version is its own. Odd ones are those that Python's NFC or lower case treats in another way, alone or beside
-    marks; texts that hold one go through the library's normalizer. Made once, on the driver, and sent to the workers."""
+    marks; texts that hold one go through the library's normalizer. Made once and sent to the workers."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -57,6 +59,25 @@ def character_tables(path: str) -> tuple[bytes, bytes, str]:
     return starts.tobytes(), kinds.tobytes(), "".join(sorted(set(odd)))
 
 
+_made: dict[str, tuple[bytes, bytes, str]] = {}
+
+
+def tables_from_task(spark: SparkSession, path: str) -> tuple[bytes, bytes, str]:
+    """``character_tables``, made once in a task: the library and its pass over all code points take several hundred MB, and
+    the driver needs the tables only."""
+
+    def run(batches):
+        for _ in batches:
+            starts, kinds, odd = character_tables(path)
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array([starts], pa.binary()), pa.array([kinds], pa.binary()), pa.array([odd], pa.string())], ["starts", "kinds", "odd"])
+
+    if path not in _made:
+        (row,) = spark.range(0, 1, 1, 1).mapInArrow(run, "starts binary, kinds binary, odd string").collect()
+        _made[path] = bytes(row["starts"]), bytes(row["kinds"]), row["odd"]
+    return _made[path]
+
+
 def _normalised(text: str) -> str:
     # Lower-casing is by character: no final sigma.
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
